@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import decontaminate, quality
 
-_MODULES = (quality,)
+_MODULES = (decontaminate, quality)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _m in _MODULES:
