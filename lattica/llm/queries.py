@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality
+from . import bpe, decontaminate, quality, token_files
 
-_MODULES = (decontaminate, quality)
+_MODULES = (decontaminate, quality, bpe, token_files)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _m in _MODULES:
