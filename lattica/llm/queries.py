@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, minhash, quality, token_files
+from . import bpe, decontaminate, minhash, quality, token_files, toxicity
 
-_MODULES = (minhash, decontaminate, quality, bpe, token_files)
+_MODULES = (minhash, decontaminate, quality, bpe, toxicity, token_files)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _m in _MODULES:
