@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, minhash, quality, token_files, toxicity, urls
+from . import bpe, decontaminate, minhash, quality, token_files, toxicity, urls, warc
 
-_MODULES = (urls, minhash, decontaminate, quality, bpe, toxicity, token_files)
+_MODULES = (urls, minhash, decontaminate, quality, bpe, toxicity, warc, token_files)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _m in _MODULES:
