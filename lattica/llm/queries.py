@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, minhash, quality, token_files, toxicity, urls, warc
+from . import bpe, chat, decontaminate, minhash, quality, token_counts, token_files, toxicity, urls, warc
 
-_MODULES = (urls, minhash, decontaminate, quality, bpe, toxicity, warc, token_files, chat)
+_MODULES = (urls, minhash, decontaminate, quality, bpe, toxicity, token_counts, warc, token_files, chat)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _m in _MODULES:
