@@ -102,8 +102,8 @@ _RESULT = T.StructType(
 )
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """Appends `contamination`: n_words, n_hit, the sorted ids of items that occur, and the hit spans of the text."""
+def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, max_windows: int = MAX_WINDOWS, out: str = "contamination") -> DataFrame:
+    """Appends, as out: n_words, n_hit, the sorted ids of items that occur, and the hit spans of the text."""
     spark = docs.sparkSession
     words = F.sum(F.length(F.coalesce(F.col(item_text), F.lit(""))))
     if (size := benchmark.agg(words).first()[0] or 0) > 2 * max_windows:
@@ -123,7 +123,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
             out.append({"n_words": len(ws), "n_hit": sum(b - a for a, b in ranges), "items": ids, "spans": _offsets(t, ranges) if ranges else []})
         return pa.array(out, type=pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]))
 
-    return docs.select("*", judge.asNondeterministic()(F.col(text)).alias("contamination"))
+    return docs.select("*", judge.asNondeterministic()(F.col(text)).alias(out))
 
 
 def contaminated(result: str = "contamination"):

@@ -320,6 +320,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def distinct_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that are kept, with their columns; of rows that repeat an id, the one of the smallest text hash.
+
+    A row without an id is kept.
+    """
+    gone = near_duplicates(docs, doc_id, text).where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
+    rest = docs.join(gone, F.col(doc_id) == F.col("__id"), "left_anti")
+    many = docs.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1").select("__id")
+    if many.isEmpty():
+        return rest
+    once = rest.join(many, F.col(doc_id) == F.col("__id"), "left_anti")
+    first = rest.join(many, F.col(doc_id) == F.col("__id"), "left_semi").groupBy(F.col(doc_id).alias("__id"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return once.unionByName(first.agg(F.min_by(row, F.struct(F.xxhash64(text), F.length(text))).alias("__row")).select("__row.*"))
+
+
 def _relabelled(rooted: DataFrame, joined: DataFrame) -> DataFrame:
     """rooted with roots replaced by what joined (root, lower root) says, and rows for the replaced roots themselves."""
     higher = joined.select(F.col("node").alias("root"), F.col("root").alias("higher"))
