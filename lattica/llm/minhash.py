@@ -309,8 +309,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     schema = dealt.schema
     open_rows = written(dealt.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_open_members, schema), "open")
     missing = open_rows.select(F.col("rep").alias("id")).distinct().join(sets, "id", "left_anti")
-    late = written(rows.join(missing, "id", "left_semi").select("id", _set_of.asNondeterministic()("text").alias("set")), "sets")
-    full = open_rows.join(sets.union(late).withColumnRenamed("id", "rep"), "rep").select(*schema.names, "set")
+    if not missing.isEmpty():  # else every open member has had its set in the stars
+        late = rows.join(missing, "id", "left_semi").select("id", _set_of.asNondeterministic()("text").alias("set"))
+        sets = sets.union(written(late, "sets"))
+    full = open_rows.join(sets.withColumnRenamed("id", "rep"), "rep").select(*schema.names, "set")
     found = full.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_settle, "a bigint, b bigint")
     rooted = _relabelled(rooted, components.components(found))
 
