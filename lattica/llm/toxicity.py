@@ -32,7 +32,7 @@ from .shared import free_name, table
 
 SMALLEST, LARGEST = 3, 6
 BITS = 18
-SAMPLE = 8_000
+SAMPLE = 6_000
 #: A subword is trained if so many texts hold it and its number of toxic ones is so many deviations, and so many times, off what the mean share gives.
 FEWEST, ODD, LIFT = 8, 8.0, 3.0
 _OPEN, _CLOSE = ord("<"), ord(">")
@@ -107,16 +107,46 @@ def _marked(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
     return out, at
 
 
-def _sparse(rows, index: dict[bytes, int] | None):
-    """Word numbers and shares of each text's words; a fresh index is made, or words outside the given one are left out."""
-    fresh = index is None
-    index = {} if fresh else index
-    number = (lambda w: index.setdefault(w, len(index))) if fresh else (lambda w: index.get(w, -1))
-    word = np.array([number(w) for r in rows for w in r[0]], np.int64)
-    size = np.array([len(r[0]) for r in rows], np.int64)
-    total = np.repeat([max(1, sum(r[1])) for r in rows], size)
-    share = (np.array([c for r in rows for c in r[1]], np.float32) / total).astype(np.float32)
-    return index, word, share, np.repeat(np.arange(len(rows)), size)
+def _sparse(rows):
+    """The vocabulary, and for every distinct word of every text its number, its share of the text, and the text."""
+    index: dict[bytes, int] = {}
+    word, share, size = [], [], []
+    for words, counts, _ in rows:
+        word.append(np.array([index.setdefault(w, len(index)) for w in words], np.int32))
+        c = np.asarray(counts, np.float32)
+        share.append(c / max(1.0, float(c.sum())))
+        size.append(len(words))
+    return list(index), np.concatenate(word), np.concatenate(share), np.repeat(np.arange(len(rows), dtype=np.int32), size)
+
+
+def _screened(vocabulary: list[bytes], word: np.ndarray, toxic: np.ndarray, run: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words and buckets of the subwords that tell the classes apart, and each word's number of subwords.
+
+    Goes twice through the vocabulary, in runs, so that memory holds the subwords of one run.
+    """
+    held = np.stack([np.bincount(word[toxic == c], minlength=len(vocabulary)) for c in (False, True)])
+    by_class = np.zeros((2, 1 << BITS))
+    n_sub = np.empty(len(vocabulary), np.int32)
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    often = None
+    for last in (False, True):
+        for lo in range(0, len(vocabulary), run):
+            some = vocabulary[lo : lo + run]
+            buckets, first = subwords(some)
+            n_sub[lo : lo + len(some)] = np.diff(first)
+            owner = lo + np.repeat(np.arange(len(some)), np.diff(first))
+            if last:
+                own = often[buckets]
+                kept.append((owner[own], buckets[own]))
+            else:
+                for c in (0, 1):
+                    by_class[c] += np.bincount(buckets, held[c][owner], 1 << BITS)
+        times = by_class.sum(0)
+        even = times * by_class[1].sum() / times.sum()
+        odd = np.abs(by_class[1] - even) / np.sqrt(np.maximum(even, 1e-9))
+        often = (times >= FEWEST) & (odd >= ODD) & (np.maximum(by_class[1], even) >= LIFT * np.minimum(by_class[1], even))
+    owner, bucket = (np.concatenate(c) for c in zip(*kept, strict=True))
+    return owner, bucket, n_sub
 
 
 def _summed(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -124,8 +154,8 @@ def _summed(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(owner, values[:, k], n) for k in range(values.shape[1])], 1).astype(np.float32)
 
 
-def fit(rows: list[tuple[list[bytes], list[int], int]], dim: int = 2, rounds: int = 300, rate: float = 1.0, patience: int = 40, seed: int = 7) -> Model:
-    """rows: distinct words, their counts and the label of each text.
+def fit(rows, dim: int = 2, rounds: int = 300, rate: float = 1.0, patience: int = 40, seed: int = 7) -> Model:
+    """rows, read more than once: distinct words, their counts and the label of each text.
 
     Subwords are screened by how unevenly the classes hold them. Every fifth text is held back to stop training; steps are scaled by the largest gradient of a parameter group, so
     that subwords gain by how much and how steadily they tell the classes apart.
@@ -133,31 +163,27 @@ def fit(rows: list[tuple[list[bytes], list[int], int]], dim: int = 2, rounds: in
     y = np.array([r[2] for r in rows], np.float64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << BITS, np.float32), float(np.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9))) if len(y) else -50.0)
-    index, word, share, row = _sparse(rows, None)
-    buckets, first = subwords(list(index))
-    n_sub = np.diff(first)
-    owner = np.repeat(np.arange(len(index)), n_sub)
-    by_class = [np.bincount(buckets, np.bincount(word, (y == c)[row], len(index))[owner], 1 << BITS) for c in (0, 1)]
-    times = by_class[0] + by_class[1]
-    even = times * by_class[1].sum() / times.sum()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        odd = np.abs(by_class[1] - even) / np.sqrt(even)
-    often = ((times >= FEWEST) & (odd >= ODD) & (np.maximum(by_class[1], even) >= LIFT * np.minimum(by_class[1], even)))[buckets]  # what few texts hold, or both classes alike, tells nothing
-    used, bucket = np.unique(buckets[often], return_inverse=True)
-    owner = owner[often]
+    vocabulary, word, share, row = _sparse(rows)
+    if not vocabulary:
+        return Model(np.zeros(1 << BITS, np.float32), float(np.log(y.mean() / (1 - y.mean()))))
+    owner, buckets, n_sub = _screened(vocabulary, word, y[row] == 1)
+    used, bucket = np.unique(buckets, return_inverse=True)
+    # only words with such a subword move anything
+    near = np.unique(owner)
+    place = np.full(len(vocabulary), -1)
+    place[near] = np.arange(len(near))
+    owner, n_words, scale = place[owner], len(near), (1 / n_sub[near]).astype(np.float32)[:, None]
+    mine = place[word] >= 0
+    word, share, row = place[word[mine]], share[mine], row[mine]
     rng = np.random.default_rng(seed)
     held = np.arange(len(rows)) % 5 == 0
     table_ = (rng.random((len(used), dim)).astype(np.float32) - 0.5) / dim
     layer, bias = rng.normal(0, 1, (dim, 2)).astype(np.float32), np.log(np.array([1 - y.mean(), y.mean()], np.float32))
     target = np.stack([1 - y, y], 1).astype(np.float32)
     speed = [np.zeros_like(p) for p in (table_, layer, bias)]
-    scale = (1 / n_sub).astype(np.float32)[:, None]
-    near = np.zeros(len(index), bool)
-    near[owner] = True
-    word, share, row = word[near[word]], share[near[word]], row[near[word]]
     best, best_at, kept = np.inf, 0, None
     for t in range(rounds):
-        words = _summed(table_[bucket], owner, len(index)) * scale
+        words = _summed(table_[bucket], owner, n_words) * scale
         text = _summed(words[word] * share[:, None], row, len(rows))
         z = text @ layer + bias
         p = np.exp(z - z.max(1, keepdims=True))
@@ -169,7 +195,7 @@ def fit(rows: list[tuple[list[bytes], list[int], int]], dim: int = 2, rounds: in
             break
         error = np.where(held[:, None], 0, p - target).astype(np.float32)
         to_text = error @ layer.T
-        to_words = _summed(to_text[row] * share[:, None], word, len(index)) * scale
+        to_words = _summed(to_text[row] * share[:, None], word, n_words) * scale
         to_table = _summed(to_words[owner], bucket, len(used))
         for k, (param, grad) in enumerate(((table_, to_table), (layer, text.T @ error), (bias, error.sum(0)))):
             speed[k] = 0.8 * speed[k] + 0.2 * grad / (np.abs(grad).max() + 1e-12)
@@ -194,15 +220,29 @@ def _bags(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array([b" ".join(b) for b in bags], pa.binary()), pa.array([np.array(list(b.values()), "<i4").tobytes() for b in bags], pa.binary())], names=["words", "counts"])
 
 
+class _Bags:
+    """Rows of an Arrow table of bags, split only while they are read."""
+
+    def __init__(self, got: pa.Table):
+        self.got = got
+
+    def __len__(self) -> int:
+        return self.got.num_rows
+
+    def __iter__(self):
+        for batch in self.got.to_batches():
+            for w, c, y in zip(batch["words"], batch["counts"], batch["y"], strict=True):
+                yield w.as_py().split(), np.frombuffer(c.as_py(), "<i4"), y.as_py()
+
+
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, **options) -> Model:
     """Fits a model to about `sample` of the labelled rows."""
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y"))
     if (n := known.count()) > sample:
         known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * sample / n))
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id")
-    got = rows.select("id", "y", _bags.asNondeterministic()("text").alias("b")).select("id", "y", "b.*").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["id"], r["y"], r["words"]))
-    return fit([(r["words"].split(), np.frombuffer(r["counts"], "<i4").tolist(), r["y"]) for r in got], **options)
+    got = rows.select("id", "y", _bags.asNondeterministic()("text").alias("b")).select("id", "y", "b.*").toArrow().sort_by([("id", "ascending"), ("y", "ascending"), ("words", "ascending")])
+    return fit(_Bags(got), **options)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
