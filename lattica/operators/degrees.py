@@ -48,7 +48,7 @@ def core_radius(deg: DataFrame, min_pts: list[int]) -> DataFrame:
 
     Degrees grow with the radius, so one number tells the flags of all radii.
     """
-    each = F.array(*(F.struct(F.lit(m).alias("mp_idx"), F.array_size(F.filter("deg", lambda x, m=p: x < F.lit(m))).alias("c")) for m, p in enumerate(min_pts)))
+    each = F.array(*(F.struct(F.lit(m).alias("mp_idx"), F.expr(f"size(filter(deg, x -> x < {p}))").alias("c")) for m, p in enumerate(min_pts)))
     return deg.select("id", F.size("deg").alias("k"), F.explode(each).alias("x")).select("x.mp_idx", "id", "x.c", "k").where("c < k").drop("k")
 
 

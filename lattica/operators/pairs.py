@@ -80,7 +80,7 @@ def by_blocks(points: DataFrame, eps: list[float], n: int, block_rows: int = BLO
     dealt = points.select("id", "v", own.alias("b")).select("id", "v", "b", F.explode(F.sequence(F.lit(0), F.lit(g - 1))).alias("o"))
     dealt = dealt.select(F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "b", "id", "v")
 
-    def search(keys, table: pa.Table) -> pa.Table:
+    def search(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         ids, x = _matrix(table)
         b, (p, q) = np.asarray(table["b"]), (keys[0].as_py(), keys[1].as_py())
         found = []
@@ -193,7 +193,7 @@ def _knn_blocks(points: DataFrame, k: int, n: int) -> DataFrame:
     asked = rows.select("id", "v", F.col("b").alias("p"), every.alias("q"), F.lit(True).alias("asks"))
     held = rows.select("id", "v", every.alias("p"), F.col("b").alias("q"), F.lit(False).alias("asks"))
 
-    def search(keys, table: pa.Table) -> pa.Table:
+    def search(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         ids, x = _matrix(table)
         asks = np.asarray(table["asks"])
         if not asks.any() or asks.all():
