@@ -44,6 +44,8 @@ LANES = 64 // BITS
 LONGS = K // LANES
 CUT = 0.5
 BLOCK = 2048
+#: So many ids (8 bytes each) are broadcast at most, after they have been counted; more are joined by shuffle.
+BROADCAST_IDS = 500_000
 NUMERATOR, DENOMINATOR = 75, 100
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 32, K, dtype=np.uint32) | np.uint32(1)
@@ -185,6 +187,14 @@ def _close_sizes(a: str, b: str) -> Column:
     return F.expr(f"{DENOMINATOR} * least({a}, {b}) >= {NUMERATOR} * greatest({a}, {b})")
 
 
+def _sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The full sets of the rows with those ids; texts are shuffled only where the ids are too many to broadcast."""
+    ids = written(ids, "ids")
+    few = ids.count() <= BROADCAST_IDS
+    own = rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    return written(own.select("id", _set_of.asNondeterministic()("text").alias("set")), "sets")
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets link."""
     got = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
@@ -285,7 +295,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     stars = written(judged.groupBy("rep", "centre").agg(F.max("same").alias("same")), "stars")
 
     open_ids = stars.select(F.explode(F.array("rep", "centre")).alias("id")).distinct()
-    sets = written(rows.join(open_ids, "id", "left_semi").select("id", _set_of.asNondeterministic()("text").alias("set")), "sets")
+    sets = _sets(rows, open_ids)
     best = stars.groupBy("rep").agg(F.max(F.struct("same", -F.col("centre"))).alias("m")).select(F.col("rep").alias("a"), (-F.col("m.col2")).alias("b"))
     parents = _confirm(best, sets).select(F.col("a").alias("node"), F.col("b").alias("parent"))
     rooted = components.roots(parents)
@@ -309,9 +319,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     schema = dealt.schema
     open_rows = written(dealt.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_open_members, schema), "open")
     missing = open_rows.select(F.col("rep").alias("id")).distinct().join(sets, "id", "left_anti")
-    if not missing.isEmpty():  # else every open member has had its set in the stars
-        late = rows.join(missing, "id", "left_semi").select("id", _set_of.asNondeterministic()("text").alias("set"))
-        sets = sets.union(written(late, "sets"))
+    sets = sets.union(_sets(rows, missing))
     full = open_rows.join(sets.withColumnRenamed("id", "rep"), "rep").select(*schema.names, "set")
     found = full.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_settle, "a bigint, b bigint")
     rooted = _relabelled(rooted, components.components(found))
