@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from lattica.functions import grid, vectors
 from lattica.operators import degrees, forest, pairs
+from lattica.sources.stored import written
 
 
 @dataclass
 class Grid:
-    """The parts of a fit: everything is a DataFrame and computed when asked for."""
+    """The parts of a fit: pairs, degrees, core flags and roots are tables, labels are computed when asked for."""
 
     points: DataFrame
     eps: list[float]
@@ -67,11 +68,11 @@ def fit(points: DataFrame, eps: list[float], min_pts: list[int], route: str = "a
     """points: (id BIGINT, v ARRAY<DOUBLE>), checked; eps and min_pts are sorted and made distinct."""
     eps, min_pts = grid.radii(eps), grid.densities(min_pts)
     points = points.select(F.col("id").cast("bigint").alias("id"), F.col("v").cast("array<double>").alias("v"))
-    table = pairs.pairs(points, eps, route, vectors.check(points)).persist()
-    deg = degrees.degrees(points, table, len(eps)).persist()
-    core = degrees.core_radius(deg, min_pts).persist()
+    table = written(pairs.pairs(points, eps, route, vectors.check(points)), "pairs")
+    deg = written(degrees.degrees(points, table, len(eps)), "degrees")
+    core = written(degrees.core_radius(deg, min_pts), "core")
     links = forest.core_links(table, core)
-    roots = forest.components(core, links, len(eps), local_links).persist()
+    roots = written(forest.components(core, links, len(eps), local_links), "roots")
     return Grid(points, eps, min_pts, table, deg, core, roots)
 
 

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.sources.stored import written
+
 LOCAL_LINKS = 4_000_000
 
 
@@ -109,18 +111,9 @@ def _closure(p: list[int], q: list[int]) -> list[tuple[int, int]]:
     return [(v, find(v)) for v in above]
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Cuts lineage: a checkpoint where the cluster names a folder, else the session's cache."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(folder or "file:///tmp/checkpoints")
-    return df.checkpoint()
-
-
 def connected(links: DataFrame, key: str) -> DataFrame:
     """(key, a, b) links to (key, node, root), the smallest node that is reachable, for all nodes but roots."""
-    now = _kept(links.where("a != b").select(key, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = written(links.where("a != b").select(key, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     last = None
     while True:
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64(key, "u", "v").cast("decimal(20,0)"))).first())
@@ -132,7 +125,7 @@ def connected(links: DataFrame, key: str) -> DataFrame:
         large = both.where("v > u").join(low, [key, "u"]).select(key, F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy(key, "u").agg(F.min("v").alias("m"))
         small = large.join(least, [key, "u"]).select(key, F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(key, "u", "m"))
-        now = _kept(small.where("u != v").distinct())
+        now = written(small.where("u != v").distinct(), "links")
 
 
 def by_rounds(core: DataFrame, forest: DataFrame, k: int) -> DataFrame:
@@ -145,13 +138,13 @@ def by_rounds(core: DataFrame, forest: DataFrame, k: int) -> DataFrame:
             now = now.join(root.select("mp_idx", F.col("id").alias(end), F.col("root").alias(f"r{end}")), ["mp_idx", end])
         joined = connected(now.select("mp_idx", F.col("ri").alias("a"), F.col("rj").alias("b")), "mp_idx")
         higher = joined.select("mp_idx", F.col("node").alias("root"), F.col("root").alias("higher"))
-        root = _kept(root.join(higher, ["mp_idx", "root"], "left").select("mp_idx", "id", F.coalesce("higher", "root").alias("root")))
+        root = written(root.join(higher, ["mp_idx", "root"], "left").select("mp_idx", "id", F.coalesce("higher", "root").alias("root")), "roots")
         part = core.where(F.col("c") <= e).join(root, ["mp_idx", "id"]).select("mp_idx", F.lit(e).alias("eps_idx"), "id", "root")
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def components(core: DataFrame, links: DataFrame, k: int, local_links: int = LOCAL_LINKS) -> DataFrame:
-    forest = spanning(links).persist()
+    forest = written(spanning(links), "forest")
     few = forest.count() + core.count() <= local_links
     return from_forest(core, forest, k) if few else by_rounds(core, forest, k)

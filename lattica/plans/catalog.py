@@ -10,6 +10,7 @@ from lattica.operators import canonical, dbscan, degrees, forest, pairs, validat
 from lattica.plans import oracles as sql
 from lattica.sources import points as src
 from lattica.sources import synthetic
+from lattica.sources.stored import written
 
 EPS, MIN_PTS = [1.10, 1.14, 1.18], [3, 4, 8]
 
@@ -242,15 +243,15 @@ bad as (
 @query(_MUTATED + " select config, code, id from (select *, row_number() over (partition by config, code order by id) as rn from bad) where rn <= 20")
 def semantic_violations(spark, sf_dir):
     fit = _fit(spark, sf_dir)
-    return validate.violations(validate.structure(fit), _mutated(fit.labels()))
+    return validate.violations(written(validate.structure(fit), "structure"), written(_mutated(fit.labels()), "labels"))
 
 
 @query(_GRID + " select config, 'particao_identica_e_semanticamente_valida' as status, 1.0::double as ari, count(*) - count(*) as n_moved from lab group by config")
 def semantic_comparison(spark, sf_dir):
-    """One plan for all configurations against every configuration alone."""
+    """The labels of a fit against the same partitions under other names."""
     fit = _fit(spark, sf_dir)
-    own = fit.labels()
-    return validate.semantic(validate.structure(fit), own, _scrambled(own)).select("config", "status", F.round("ari", 9).alias("ari"), F.col("n_moved").cast("bigint").alias("n_moved"))
+    own = written(fit.labels().select("config", "id", "label"), "labels")
+    return validate.semantic(written(validate.structure(fit), "structure"), own, _scrambled(own)).select("config", "status", F.round("ari", 9).alias("ari"), F.col("n_moved").cast("bigint").alias("n_moved"))
 
 
 def _ari_sql(source: str) -> str:
@@ -275,7 +276,7 @@ m as (select config, round(avg(((a < 0) = (b < 0))::int::double), 9) as noise_ag
 select m.*, ari from m join ari using (config)""")
 def partition_metrics(spark, sf_dir):
     """Each configuration against the next count of the same radius."""
-    own = _fit(spark, sf_dir).labels().select("config", "id", "label")
+    own = written(_fit(spark, sf_dir).labels().select("config", "id", "label"), "labels")
     later = own.where("config % 3 > 0").withColumn("config", F.col("config") - 1)
     got = canonical.compare(own, later)
     return got.withColumns({c: F.round(c, 9) for c in ("ari", "noise_agreement")})
@@ -284,20 +285,20 @@ def partition_metrics(spark, sf_dir):
 @query(_GRID + """, s as (select config, count(*) as n from lab group by config)
 select p.a as source_a, p.b as source_b, config, 1.0::double as ari, true as identical from s, (values ('alone', 'grid'), ('alone', 'scrambled'), ('grid', 'scrambled')) p(a, b)""")
 def source_pairs(spark, sf_dir):
-    own = _fit(spark, sf_dir).labels().select("config", "id", "label")
+    own = written(_fit(spark, sf_dir).labels().select("config", "id", "label"), "labels")
     alone = dbscan.solo(points(spark, sf_dir, "e64"), EPS, MIN_PTS).select("config", "id", "label")
     named = [("grid", own), ("alone", alone), ("scrambled", _scrambled(own))]
     rows = None
     for name, labels in named:
         part = labels.withColumn("source", F.lit(name))
         rows = part if rows is None else rows.unionByName(part)
-    return canonical.source_pairs(rows.persist()).select("source_a", "source_b", "config", F.round("ari", 9).alias("ari"), "identical")
+    return canonical.source_pairs(written(rows, "labels")).select("source_a", "source_b", "config", F.round("ari", 9).alias("ari"), "identical")
 
 
 @query(_GRID + " select 1 as run, min(config) as first_config, min(id) filter (config = 0) as first_id, count(*) as n_diff from lab where label >= 0 and label != 5000 - 3 * label group by 1")
 def determinism(spark, sf_dir):
     """Run 1 has its labels renamed, so it differs where there are clusters; run 2 repeats the first and differs nowhere."""
-    own = _fit(spark, sf_dir).labels().select("config", "id", "label").persist()
+    own = written(_fit(spark, sf_dir).labels().select("config", "id", "label"), "labels")
     runs = own.withColumn("run", F.lit(0)).unionByName(_scrambled(own).withColumn("run", F.lit(1))).unionByName(_fit(spark, sf_dir).labels().select("config", "id", "label").withColumn("run", F.lit(2)))
     return canonical.determinism(runs)
 
