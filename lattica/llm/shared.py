@@ -1,46 +1,12 @@
-"""What several operators need: the shared work folder, packaging of Arrow batches, clash-free names."""
+"""What several operators need: tables in the shared folder, clash-free names."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's path below spark.checkpoint.dir, which driver and executors share.
-
-    Only where that setting is absent (tests on one machine) a folder in /tmp is taken.
-    """
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    path = f"{(top or 'file:///tmp/checkpoints').rstrip('/')}/lattica/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            remove(spark, path)
-        except Exception:  # the session has ended before
-            pass
-
+from lattica.sources.stored import remove, work_dir, written
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    path = work_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["free_name", "remove", "table", "work_dir", "written"]
 
 
 def free_name(df: DataFrame, name: str) -> str:
