@@ -12,8 +12,8 @@ Training reads at most about `sample` labelled rows (a documented bound; rows ar
 by their place), as words and counts made on the executors.
 
 Defined results: null, empty and wordless texts get the score of the bias alone. Labels that are null are not used;
-repeated labels of a row count each. With no labelled rows, or one class only, every score is the share of toxic
-labels (0 without labels). Extra columns pass through. Labels, language, source and ids never enter a score.
+repeated labels of a row count each. With no labelled rows, one class only, or no subword that tells the classes
+apart, every score is the share of toxic labels (0 without labels). Extra columns pass through. Labels, language, source and ids never enter a score.
 """
 
 from __future__ import annotations
@@ -164,9 +164,9 @@ def fit(rows, dim: int = 2, rounds: int = 300, rate: float = 1.0, patience: int
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << BITS, np.float32), float(np.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9))) if len(y) else -50.0)
     vocabulary, word, share, row = _sparse(rows)
-    if not vocabulary:
+    owner, buckets, n_sub = _screened(vocabulary, word, y[row] == 1) if vocabulary else ((), (), ())
+    if not len(owner):  # no subword tells the classes apart
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(y.mean() / (1 - y.mean()))))
-    owner, buckets, n_sub = _screened(vocabulary, word, y[row] == 1)
     used, bucket = np.unique(buckets, return_inverse=True)
     # only words with such a subword move anything
     near = np.unique(owner)
