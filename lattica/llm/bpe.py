@@ -18,8 +18,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from itertools import accumulate, chain
+from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -31,6 +33,7 @@ from pyspark.sql import types as T
 from .chunks import ChunkCache
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+KEPT_CHUNKS = 300_000
 _SHIFT = 0x100
 _TO_CHAR = {b: _SHIFT + b for b in range(256)}
 #: White space as the Unicode property has it, whatever the regex library adds to \\s.
@@ -80,21 +83,29 @@ class Codec:
         self.pieces = [t for t, _ in sorted(ranks.items(), key=lambda x: x[1])]
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(ranks))
         self.split = regex.compile(pattern.replace(r"[^\s", f"[^{_WHITE}").replace(r"\s", f"[{_WHITE}]").replace(r"\S", f"[^{_WHITE}]")).findall
-        self.cache = ChunkCache(self._chunks)
+        self.dtype = np.dtype("<u2" if len(self.pieces) <= 1 << 16 else "<u4")
+        self.cache = ChunkCache(self._chunks, KEPT_CHUNKS)
 
-    def _chunks(self, chunks: list[str]) -> list[tuple[int, ...]]:
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
         tokens = [[t.encode() for t in self.split(c)] for c in chunks]
         new = sorted({t for ts in tokens for t in ts if t not in self.ranks})
         made = dict(zip(new, self.model.encode([mapped(t) for t in new], num_threads=1), strict=True)) if new else {}
         ranks = self.ranks
-        return [tuple(chain.from_iterable((ranks[t],) if t in ranks else made[t] for t in ts)) for ts in tokens]
+        ids = (chain.from_iterable((ranks[t],) if t in ranks else made[t] for t in ts) for ts in tokens)
+        return [np.fromiter(x, self.dtype).tobytes() for x in ids]
 
-    def encode_batch(self, texts: list[str | None]):
+    def encode_batch(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text; kept packed, as a worker's memory holds the ids of many chunks."""
         for parts in self.cache.each(texts):
-            yield list(chain.from_iterable(parts))
+            yield np.frombuffer(b"".join(parts), self.dtype)
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids))
+        return b"".join(map(self.pieces.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
+
+
+def _listed(arrays: list[np.ndarray]) -> pa.ListArray:
+    at = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.empty(0, np.int32), *arrays], dtype=np.int32)))
 
 
 _codecs: dict[str, Codec] = {}
@@ -124,7 +135,7 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str | No
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def ids(texts: pa.Array) -> pa.Array:
-        return pa.array(codec_of(shared).encode_batch(texts.to_pylist()), pa.list_(pa.int32()))
+        return _listed(list(codec_of(shared).encode_batch(texts.to_pylist())))
 
     return docs.select("*", ids.asNondeterministic()(F.col(text)).alias(out))
 
@@ -158,14 +169,13 @@ def digests(docs: DataFrame, text: str = "text", out: str = "digests", path: str
         names = _decimals(len(codec.pieces))
         for got in codec.encode_batch(texts.to_pylist()):
             n.append(len(got))
-            sha.append(hashlib.sha256(",".join(map(names.__getitem__, got)).encode()).hexdigest())
+            sha.append(hashlib.sha256(",".join(map(names.__getitem__, got.tolist())).encode()).hexdigest())
             back.append(hashlib.sha256(codec.decode(got)).hexdigest())
             if ids:
-                kept.append(pa.array(got, pa.int32()))
+                kept.append(got)
         cols = [pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
         if ids:
-            at = pa.array(accumulate(n, initial=0), pa.int32())
-            cols.append(pa.ListArray.from_arrays(at, pa.concat_arrays(kept) if kept else pa.array([], pa.int32())))
+            cols.append(_listed(kept))
         return pa.StructArray.from_arrays(cols, names=[f.name for f in kind.fields])
 
     got = docs.select("*", both.asNondeterministic()(F.col(text)).alias(out))
