@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import ChunkCache
+from .shared import bounded_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 KEPT_CHUNKS = 300_000
@@ -120,6 +121,7 @@ def codec_of(shared) -> Codec:
 
 def share(spark, path: str):
     """The vocabulary file as a broadcast: its size is that of the file, whatever the corpus."""
+    bounded_batches(spark)
     with open(path, "rb") as f:
         raw = f.read()
     return spark.sparkContext.broadcast((hashlib.sha256(raw).hexdigest(), raw))

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
+from .shared import bounded_batches
 
 WINDOW = 13
 MAX_WINDOWS = 5_000_000
@@ -105,6 +106,7 @@ _RESULT = T.StructType(
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, max_windows: int = MAX_WINDOWS, out: str = "contamination") -> DataFrame:
     """Appends, as out: n_words, n_hit, the sorted ids of items that occur, and the hit spans of the text."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     words = F.sum(F.length(F.coalesce(F.col(item_text), F.lit(""))))
     if (size := benchmark.agg(words).first()[0] or 0) > 2 * max_windows:
         raise ValueError(f"the benchmark may have over {max_windows} windows ({size} characters); scan it in parts")

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from . import components
 from . import textkit as tk
-from .shared import table, written
+from .shared import bounded_batches, table, written
 
 SHINGLE = 5
 K, BANDS, BITS = 128, 32, 4
@@ -279,6 +279,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
     sketch = written(rows.select("id", _sketch.asNondeterministic()("text").alias("x")).select("id", "x.*"), "sketch")
     classes = written(sketch.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")).where("rep is not null"), "classes")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
+from .shared import bounded_batches
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 _SYMBOL = tk.separators("#*$%&|<>")
@@ -71,6 +72,7 @@ def measure(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     clash = {c.lower() for c in docs.columns} & {f"{prefix}{k}".lower() for k in MEASURES}
     if clash:
         raise ValueError(f"columns {sorted(clash)} are taken; choose a prefix")
+    bounded_batches(docs.sparkSession)
     got = docs.select("*", _measure.asNondeterministic()(F.col(text)).alias("__measured"))
     return got.select("*", *(F.col(f"__measured.{k}").alias(f"{prefix}{k}") for k in MEASURES)).drop("__measured")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lattica.sources.stored import remove, work_dir, written
 
-__all__ = ["free_name", "remove", "table", "work_dir", "written"]
+__all__ = ["bounded_batches", "free_name", "remove", "table", "work_dir", "written"]
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -19,3 +19,14 @@ def free_name(df: DataFrame, name: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Has texts go to Python in batches of at most so many rows and 8 MB, which bounds a worker's and Arrow's buffers.
+
+    A smaller setting of the session stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")

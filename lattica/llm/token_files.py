@@ -98,6 +98,7 @@ _SHARD = "pid int, name string, n_docs bigint, n_ids bigint, n_null bigint, firs
 def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", path: str | None = None, end_id: int | None = END_ID) -> dict:
     """Writes the files and the manifest below folder, a URI that driver and executors share; returns the manifest."""
     spark = docs.sparkSession
+    shared.bounded_batches(spark)
     with open(path or public_tokenizers.path(VOCABULARY), "rb") as f:
         raw = f.read()
     vocabulary = spark.sparkContext.broadcast((hashlib.sha256(raw).hexdigest(), raw))

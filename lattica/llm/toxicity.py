@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .shared import free_name, table
+from .shared import bounded_batches, free_name, table
 
 SMALLEST, LARGEST = 3, 6
 BITS = 18
@@ -237,6 +237,7 @@ class _Bags:
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, **options) -> Model:
     """Fits a model to about `sample` of the labelled rows."""
+    bounded_batches(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y"))
     if (n := known.count()) > sample:
         known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * sample / n))
@@ -247,6 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """Appends the toxic class's probability of each text."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias))
 
     @F.arrow_udf(T.DoubleType())
