@@ -412,7 +412,7 @@ def marginal_cost(spark, sf_dir):
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    return stats.bootstrap(stats.block_ratios(records(spark, sf_dir)), ["case_id"], "gain", "block", 1000)
+    return stats.bootstrap(stats.block_ratios(records(spark, sf_dir)), ["case_id"], "gain", "block")
 
 
 @query()

@@ -1,7 +1,12 @@
+import hashlib
+import random
+import statistics
+
 import numpy as np
 import pytest
 
 from lattica.functions import stats
+from lattica.plans import catalog
 from lattica.sources import points as src
 
 
@@ -56,3 +61,17 @@ def test_descriptive_of_one_value_and_bootstrap(spark):
     rows = spark.createDataFrame([("a", i, float(i)) for i in range(6)], "k string, o int, x double")
     a, b = (stats.bootstrap(rows.repartition(k), ["k"], "x", "o", 200).first() for k in (1, 3))
     assert a == b and a.conclusive and 0 <= a.low <= 2.5 <= a.high <= 5
+
+
+def test_bootstrap_query_as_plain_python(spark):
+    sf = "/root/testdata/sf0.001"
+    cases: dict[str, list] = {}
+    for r in stats.block_ratios(catalog.records(spark, sf)).orderBy("block").collect():
+        cases.setdefault(r.case_id, []).append(r.gain)
+    want = {}
+    for case, gains in cases.items():
+        draw = random.Random(int.from_bytes(hashlib.sha256(case.encode()).digest()[:8], "big"))
+        medians = [statistics.median([gains[draw.randrange(len(gains))] for _ in gains]) for _ in range(10_000)]
+        want[case] = [len(gains), *np.percentile(medians, [2.5, 97.5]), len(gains) >= 5]
+    got = {r.case_id: [r.n, r.low, r.high, r.conclusive] for r in catalog.QUERIES["bootstrap_ci"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
