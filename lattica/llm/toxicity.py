@@ -12,8 +12,8 @@ Training reads at most about `sample` labelled rows (a documented bound; rows ar
 by their place), as words and counts made on the executors.
 
 Defined results: null, empty and wordless texts get the score of the bias alone. Labels that are null are not used;
-repeated labels of a row count each. With no labelled rows, one class only, or no subword that tells the classes
-apart, every score is the share of toxic labels (0 without labels). Extra columns pass through. Labels, language, source and ids never enter a score.
+repeated labels of a row count each. With no labelled rows, one class only, or no words in one class of the texts that
+train, every score is the share of toxic labels (0 without labels). Extra columns pass through. Labels, language, source and ids never enter a score.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ from .shared import bounded_batches, free_name, table
 SMALLEST, LARGEST = 3, 6
 BITS = 18
 SAMPLE = 6_000
-#: A subword is trained if so many texts hold it and its number of toxic ones is so many deviations, and so many times, off what the mean share gives.
-FEWEST, ODD, LIFT = 8, 8.0, 3.0
+#: Occurrences at the mean share that are added to a subword's own before its odds are taken.
+STEADY = 5.0
 _OPEN, _CLOSE = ord("<"), ord(">")
 
 
@@ -119,85 +119,73 @@ def _sparse(rows):
     return list(index), np.concatenate(word), np.concatenate(share), np.repeat(np.arange(len(rows), dtype=np.int32), size)
 
 
-def _screened(vocabulary: list[bytes], word: np.ndarray, toxic: np.ndarray, run: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words and buckets of the subwords that tell the classes apart, and each word's number of subwords.
+def _spread(vocabulary: list[bytes], run: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the subwords of all words, word by word, and each word's number of them; made in runs of words."""
+    buckets, n_sub = [], []
+    for lo in range(0, len(vocabulary), run):
+        got, first = subwords(vocabulary[lo : lo + run])
+        buckets.append(got.astype(np.int32))
+        n_sub.append(np.diff(first))
+    return np.concatenate(buckets), np.concatenate(n_sub)
 
-    Goes twice through the vocabulary, in runs, so that memory holds the subwords of one run.
+
+def _paces(times: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """How fast each subword is trained: by the square of its log-odds times their deviations, over the deviation of its share of a text.
+
+    times: for both classes the texts' words that hold it. Both classes are compared with the mean share, with STEADY
+    occurrences of that share added, so that a rare subword moves little and the balance of the classes cancels out.
     """
-    held = np.stack([np.bincount(word[toxic == c], minlength=len(vocabulary)) for c in (False, True)])
-    by_class = np.zeros((2, 1 << BITS))
-    n_sub = np.empty(len(vocabulary), np.int32)
-    kept: list[tuple[np.ndarray, np.ndarray]] = []
-    often = None
-    for last in (False, True):
-        for lo in range(0, len(vocabulary), run):
-            some = vocabulary[lo : lo + run]
-            buckets, first = subwords(some)
-            n_sub[lo : lo + len(some)] = np.diff(first)
-            owner = lo + np.repeat(np.arange(len(some)), np.diff(first))
-            if last:
-                own = often[buckets]
-                kept.append((owner[own], buckets[own]))
-            else:
-                for c in (0, 1):
-                    by_class[c] += np.bincount(buckets, held[c][owner], 1 << BITS)
-        times = by_class.sum(0)
-        even = times * by_class[1].sum() / times.sum()
-        odd = np.abs(by_class[1] - even) / np.sqrt(np.maximum(even, 1e-9))
-        often = (times >= FEWEST) & (odd >= ODD) & (np.maximum(by_class[1], even) >= LIFT * np.minimum(by_class[1], even))
-    owner, bucket = (np.concatenate(c) for c in zip(*kept, strict=True))
-    return owner, bucket, n_sub
-
-
-def _summed(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows of values by owner."""
-    return np.stack([np.bincount(owner, values[:, k], n) for k in range(values.shape[1])], 1).astype(np.float32)
+    toxic = times[1].sum() / times.sum()
+    odds = np.log((times[1] + STEADY * toxic) / toxic) - np.log((times[0] + STEADY * (1 - toxic)) / (1 - toxic))
+    off = (times[1] - times.sum(0) * toxic) / np.sqrt((times.sum(0) + 1) * toxic * (1 - toxic))
+    pace = np.square(odds * off) / np.sqrt(spread)
+    return pace / max(pace.max(), 1e-300)
 
 
 def fit(rows, dim: int = 2, rounds: int = 300, rate: float = 1.0, patience: int = 40, seed: int = 7) -> Model:
     """rows, read more than once: distinct words, their counts and the label of each text.
 
-    Subwords are screened by how unevenly the classes hold them. Every fifth text is held back to stop training; steps are scaled by the largest gradient of a parameter group, so
-    that subwords gain by how much and how steadily they tell the classes apart.
+    All subwords are trained. Every fifth text is held back to stop training; steps are scaled by the largest gradient of a parameter group, so
+    that subwords gain by their pace and how much and how steadily they tell the classes apart.
     """
     y = np.array([r[2] for r in rows], np.float64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << BITS, np.float32), float(np.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9))) if len(y) else -50.0)
     vocabulary, word, share, row = _sparse(rows)
-    owner, buckets, n_sub = _screened(vocabulary, word, y[row] == 1) if vocabulary else ((), (), ())
-    if not len(owner):  # no subword tells the classes apart
-        return Model(np.zeros(1 << BITS, np.float32), float(np.log(y.mean() / (1 - y.mean()))))
-    used, bucket = np.unique(buckets, return_inverse=True)
-    # only words with such a subword move anything
-    near = np.unique(owner)
-    place = np.full(len(vocabulary), -1)
-    place[near] = np.arange(len(near))
-    owner, n_words, scale = place[owner], len(near), (1 / n_sub[near]).astype(np.float32)[:, None]
-    mine = place[word] >= 0
-    word, share, row = place[word[mine]], share[mine], row[mine]
-    rng = np.random.default_rng(seed)
+    prior = Model(np.zeros(1 << BITS, np.float32), float(np.log(y.mean() / (1 - y.mean()))))
     held = np.arange(len(rows)) % 5 == 0
-    table_ = (rng.random((len(used), dim)).astype(np.float32) - 0.5) / dim
-    layer, bias = rng.normal(0, 1, (dim, 2)).astype(np.float32), np.log(np.array([1 - y.mean(), y.mean()], np.float32))
-    target = np.stack([1 - y, y], 1).astype(np.float32)
+    seen = [np.bincount(word[~held[row] & (y[row] == c)], minlength=len(vocabulary)) for c in (0, 1)]
+    if not (seen[0].any() and seen[1].any()):  # the texts that train have words in one class only
+        return prior
+    buckets, n_sub = _spread(vocabulary)
+    used = np.flatnonzero(np.bincount(buckets, minlength=1 << BITS))
+    place = np.zeros(1 << BITS, np.int64)
+    place[used] = np.arange(len(used))
+    bucket = place[buckets]
+    del buckets
+    first, scale = np.concatenate(([0], np.cumsum(n_sub)[:-1])), 1 / n_sub
+    onto = lambda of_word: np.bincount(bucket, np.repeat(of_word, n_sub), len(used))
+    pace = _paces(np.stack([onto(c) for c in seen]), onto(np.bincount(word, np.square(share, dtype=np.float64), len(vocabulary)) * scale**2))[:, None]
+    rng = np.random.default_rng(seed)
+    table_ = (rng.random((len(used), dim)) - 0.5) / dim * np.sqrt(pace)
+    layer, bias = rng.normal(0, 1, (dim, 2)), np.log(np.array([1 - y.mean(), y.mean()]))
     speed = [np.zeros_like(p) for p in (table_, layer, bias)]
     best, best_at, kept = np.inf, 0, None
     for t in range(rounds):
-        words = _summed(table_[bucket], owner, n_words) * scale
-        text = _summed(words[word] * share[:, None], row, len(rows))
-        z = text @ layer + bias
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        loss = -np.log(p[held, y[held].astype(int)] + 1e-9).mean()
+        # of two classes only the difference matters: one number for each subword, word and text
+        toward = layer[:, 1] - layer[:, 0]
+        words = np.add.reduceat((table_ @ toward)[bucket], first) * scale
+        z = np.bincount(row, words[word] * share, len(rows)) + bias[1] - bias[0]
+        p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        loss = -np.log(np.where(y == 1, p, 1 - p)[held] + 1e-9).mean()
         if loss < best:
             best, best_at, kept = loss, t, (table_.copy(), layer.copy(), bias.copy())
         elif t - best_at > patience:
             break
-        error = np.where(held[:, None], 0, p - target).astype(np.float32)
-        to_text = error @ layer.T
-        to_words = _summed(to_text[row] * share[:, None], word, n_words) * scale
-        to_table = _summed(to_words[owner], bucket, len(used))
-        for k, (param, grad) in enumerate(((table_, to_table), (layer, text.T @ error), (bias, error.sum(0)))):
+        error = np.where(held, 0, p - y)
+        each = onto(np.bincount(word, error[row] * share, len(vocabulary)) * scale)
+        grads = each[:, None] * toward * pace, np.outer(each @ table_, (-1, 1)), error.sum() * np.array([-1, 1])
+        for k, (param, grad) in enumerate(zip((table_, layer, bias), grads, strict=True)):
             speed[k] = 0.8 * speed[k] + 0.2 * grad / (np.abs(grad).max() + 1e-12)
             param -= rate * (1, 0.1, 0.02)[k] * speed[k]
     table_, layer, bias = kept

@@ -265,6 +265,26 @@ def test_toxicity_learns_and_shares_subwords(spark, none):
     assert toxicity.score(none.select("doc_id", "text"), model).isEmpty()
 
 
+@pytest.mark.parametrize(("n", "every"), [(40, 2), (400, 2), (80, 8), (400, 3)])
+def test_toxicity_learns_from_balanced_and_from_few_labels(n, every):
+    rng = np.random.default_rng(3)
+    mild = [f"word{k}" for k in range(300)]
+
+    def texts(count):
+        for i in range(count):
+            w = list(rng.choice(mild, 60))
+            if i % every == 1:
+                w[5], w[30] = rng.choice(["hateful", "despicable"], 2)
+            yield " ".join(w), int(i % every == 1)
+
+    model = toxicity.fit([(list(b), list(b.values()), y) for t, y in texts(n) for b in [toxicity.bag(t)]])
+    new = list(texts(200))
+    data = [t.encode() for t, _ in new]
+    p = model.score(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    y = np.array([y for _, y in new])
+    assert ((p >= 0.5) == y)[y == 1].mean() > 0.75 and ((p >= 0.5) == y)[y == 0].mean() > 0.95
+
+
 def test_url_rules_and_trees(spark):
     listed = ["http://a.EXAMPLE.com/en/7x?q#f", "https://example.com/en/8", "x://notexample.com/en/7", "https://com/en/", "ftp://q.net/de/1", "http://b.example.net/de/80", "http://org/es", "http://org/es/", None, "nourl", "http://", "http://h?x=1/en/", "http://h#a://b", "://u.com/en/9"]
     pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate([*listed, listed[0]])], "page_id int, url string, note string, x_mine string")
