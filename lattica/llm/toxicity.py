@@ -32,7 +32,7 @@ from .shared import bounded_batches, free_name, table
 
 SMALLEST, LARGEST = 3, 6
 BITS = 18
-SAMPLE = 6_000
+SAMPLE = 8_000
 #: Occurrences at the mean share that are added to a subword's own before its odds are taken.
 STEADY = 5.0
 _OPEN, _CLOSE = ord("<"), ord(">")

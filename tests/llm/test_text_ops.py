@@ -285,6 +285,10 @@ def test_toxicity_learns_from_balanced_and_from_few_labels(n, every):
     assert ((p >= 0.5) == y)[y == 1].mean() > 0.75 and ((p >= 0.5) == y)[y == 0].mean() > 0.95
 
 
+def test_toxicity_sample_is_8000():
+    assert toxicity.SAMPLE == 8_000
+
+
 def test_url_rules_and_trees(spark):
     listed = ["http://a.EXAMPLE.com/en/7x?q#f", "https://example.com/en/8", "x://notexample.com/en/7", "https://com/en/", "ftp://q.net/de/1", "http://b.example.net/de/80", "http://org/es", "http://org/es/", None, "nourl", "http://", "http://h?x=1/en/", "http://h#a://b", "://u.com/en/9"]
     pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate([*listed, listed[0]])], "page_id int, url string, note string, x_mine string")
