@@ -1,7 +1,7 @@
 """Tool-call linking for chat data: join, order, validate, serialise. DataFrame and SQL operations only.
 
-Calls and results are each brought to one row per conversation and identifier (the earliest; repeats are counted), so
-that an identifier repeated without end is one row before the join, then joined by hash. A call may name the call whose result it
+Every call and every result is kept. Repeats of an identifier are numbered by position within their conversation, calls
+and results apart, and the n-th call goes with the n-th result; what is left over has a row of its own. A call may name the call whose result it
 builds on (`after`); calls are ordered topologically by their depth in that forest, found by pointer doubling, in
 rounds that grow with the logarithm of the longest chain and never gather a conversation in one place. Arguments are
 parsed to variants, checked against the tool's schema and written as canonical JSON: sorted keys, no white space.
@@ -9,13 +9,15 @@ parsed to variants, checked against the tool's schema and written as canonical J
 Sorting by (level, position, call_id) within a conversation is a topological order. Defined results of `link`:
 status `linked`, `no_result`, `no_call` (a result whose call is unknown), `invalid` (arguments that are no JSON object
 or break the schema; `errors` says how), `cyclic` (dependencies that never end; their level is null). A dependency on an
-unknown call is reported as `unresolved` in errors and counts as none. Null identifiers never join; a call or result without one is
-a row of its own conversation-wide key (null), counted like repeats. Empty tables give an empty result.
+unknown call is reported as `unresolved` in errors and counts as none; one on a repeated identifier means its latest call
+at an earlier position, else its first. n_calls and n_results count an identifier's calls and results in all. A call or
+result without a conversation or an identifier is a row of its own, without level. Rows come out by conversation,
+identifier and number. One task numbers the calls of one identifier of a conversation. Empty tables give an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import table, written
@@ -55,21 +57,48 @@ def violations(name: Column, raw: Column, value: Column, schemas: dict = SCHEMAS
     return cases.otherwise(F.array(F.lit("unknown_tool")))
 
 
+def numbered(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """(conv_id, call_id, nth, n_calls, n_results, c, r): the n-th call of an identifier beside its n-th result, by position.
+
+    Rows without a conversation or an identifier are rows of their own, without nth.
+    """
+    c, r = F.struct("position", "name", "arguments", "after"), F.struct("position", "content")
+    both = calls.select(*KEY, c.alias("c")).unionByName(results.select(*KEY, r.alias("r")), allowMissingColumns=True)
+    whole, own = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull(), Window.partitionBy(*KEY)
+    nth = F.row_number().over(Window.partitionBy(*KEY, F.col("c").isNull()).orderBy("c", "r"))
+    each = both.where(whole).select(*KEY, nth.alias("nth"), F.count("c").over(own).alias("n_calls"), F.count("r").over(own).alias("n_results"), "c", "r")
+    paired = each.groupBy(*KEY, "nth", "n_calls", "n_results").agg(F.first("c", True).alias("c"), F.first("r", True).alias("r"))
+    alone = both.where(~whole).select(*KEY, F.lit(None).cast("int").alias("nth"), F.col("c").isNotNull().cast("bigint").alias("n_calls"), F.col("r").isNotNull().cast("bigint").alias("n_results"), "c", "r")
+    return written(paired.unionByName(alone), "calls")
+
+
+def resolved(calls: DataFrame) -> DataFrame:
+    """(conv_id, call_id, after, unresolved) of (conv_id, call_id, nth, position, after), call_id and after now with nth."""
+    call = F.struct("call_id", "nth")
+    own = calls.select("conv_id", F.col("call_id").alias("id"), "position", F.lit(1).alias("kind"), "nth")
+    wish = calls.where("after is not null").select("conv_id", F.col("after").alias("id"), "position", F.lit(0).alias("kind"), call.alias("call"))
+    same = Window.partitionBy("conv_id", "id")
+    before = F.last("nth", True).over(same.orderBy("position", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = own.unionByName(wish, allowMissingColumns=True).select("conv_id", "id", "call", before.alias("before"), F.min("nth").over(same).alias("least")).where("call is not null")
+    to = F.coalesce("before", "least")
+    found = found.select("conv_id", F.col("call").alias("call_id"), F.when(to.isNotNull(), F.struct(F.col("id").alias("call_id"), to.alias("nth"))).alias("after"), to.isNull().alias("unresolved"))
+    return calls.where("after is null").select("conv_id", call.alias("call_id")).unionByName(found, allowMissingColumns=True)
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     """calls: conv_id, call_id, position, name, arguments (JSON text), after. results: conv_id, call_id, position, content."""
-    first = calls.groupBy(*KEY).agg(F.count("*").alias("n_calls"), F.min(F.struct("position", "name", "arguments", "after")).alias("c"))
-    first = written(first.select(*KEY, "n_calls", F.col("c.position").alias("position"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.col("c.after").alias("after")), "calls")
-    known = first.select("conv_id", F.col("call_id").alias("after"), F.lit(True).alias("known"))
-    depends = first.where("call_id is not null").join(known, ["conv_id", "after"], "left")
-    depth = levels(depends.select(*KEY, F.when(F.col("known"), F.col("after")).alias("after")))
-    unresolved = depends.where("after is not null and known is null").select(*KEY, F.lit(True).alias("unresolved"))
-    got = results.groupBy(*KEY).agg(F.count("*").alias("n_results"), F.min(F.struct("position", "content")).alias("r"))
-    both = first.join(got, KEY, "full").join(depth, KEY, "left").join(unresolved, KEY, "left")
+    both = numbered(calls, results)
+    after = resolved(both.where("c is not null and nth is not null").select(*KEY, "nth", "c.position", "c.after"))
+    depth = levels(after).select("conv_id", "call_id.call_id", "call_id.nth", "level")
+    unresolved = after.where("unresolved").select("conv_id", "call_id.call_id", "call_id.nth", "unresolved")
+    both = both.join(depth, [*KEY, "nth"], "left").join(unresolved, [*KEY, "nth"], "left")
+    both = both.select("*", *(F.col(f"c.{x}").alias(x) for x in ("name", "arguments")), F.coalesce("c.position", "r.position").alias("position"))
     value = F.try_parse_json("arguments")
-    both = both.withColumn("v", value).withColumn("errors", F.when(F.col("n_calls").isNotNull(), F.concat(F.coalesce(violations(F.col("name"), F.col("arguments"), F.col("v"), schemas), F.array(F.lit("not_an_object"))), F.when(F.col("unresolved"), F.array(F.lit("unresolved"))).otherwise(F.array().cast("array<string>")))))
-    status = F.when(F.col("n_calls").isNull(), "no_call").when(F.size(F.array_remove("errors", "unresolved")) > 0, "invalid").when(F.col("call_id").isNotNull() & F.col("level").isNull(), "cyclic").when(F.col("n_results").isNull(), "no_result").otherwise("linked")
+    both = both.withColumn("v", value).withColumn("errors", F.when(F.col("c").isNotNull(), F.concat(F.coalesce(violations(F.col("name"), F.col("arguments"), F.col("v"), schemas), F.array(F.lit("not_an_object"))), F.when(F.col("unresolved"), F.array(F.lit("unresolved"))).otherwise(F.array().cast("array<string>")))))
+    status = F.when(F.col("c").isNull(), "no_call").when(F.size(F.array_remove("errors", "unresolved")) > 0, "invalid").when(F.col("nth").isNotNull() & F.col("level").isNull(), "cyclic").when(F.col("r").isNull(), "no_result").otherwise("linked")
     message = F.to_json(F.struct(F.col("v").alias("arguments"), "call_id", "conv_id", "name", F.col("r.content").alias("result")))
-    return both.select(*KEY, "name", "level", F.coalesce("position", "r.position").alias("position"), F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("n_results", F.lit(0)).alias("n_results"), status.alias("status"), F.coalesce("errors", F.array().cast("array<string>")).alias("errors"), message.alias("message"))
+    got = both.select(*KEY, "name", "level", "position", "n_calls", "n_results", status.alias("status"), F.coalesce("errors", F.array().cast("array<string>")).alias("errors"), message.alias("message"), "nth")
+    return got.orderBy(*KEY, "nth", "position").drop("nth")
 
 
 def exchanges(turns: DataFrame) -> tuple[DataFrame, DataFrame]:

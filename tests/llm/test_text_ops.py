@@ -344,3 +344,18 @@ def test_tool_calls(spark):
     assert find(1, "e").status == "invalid" and find(1, "e").level is None and find(1, "f").status == "cyclic"
     assert find(1, "x").status == "no_call" and find(2, "a").status == "invalid"
     assert chat.link(c.where("1 = 0"), r.where("1 = 0")).isEmpty()
+
+
+def test_repeated_and_missing_identifiers_keep_every_call(spark):
+    q = '{"text":"%s"}'
+    calls = [(1, "k", 0, "search", q % "a", None), (1, "k", 2, "search", "[1]", "k"), (1, "k", 4, "search", q % "c", "k"), (1, "z", 5, "search", q % "z", "k"), (1, None, 6, "search", q % "n", None), (1, None, 7, "search", q % "m", None), (None, "k", 8, "search", q % "o", None), (None, "k", 8, "search", q % "o", None)]
+    results = [(1, "k", 1, "ra"), (1, "k", 3, "rb"), (1, "x", 1, "u"), (1, "x", 2, "v"), (1, None, 9, "w")]
+    c = spark.createDataFrame(calls, "conv_id int, call_id string, position bigint, name string, arguments string, after string")
+    r = spark.createDataFrame(results, "conv_id int, call_id string, position bigint, content string")
+    got = chat.link(c, r).collect()
+    assert len(got) == len(calls) + 3  # two unmatched results of x and one without an identifier
+    assert [(x.position, x.status, x.level, x.n_calls, x.n_results) for x in got if (x.conv_id, x.call_id) == (1, "k")] == [(0, "linked", 0, 3, 2), (2, "invalid", 1, 3, 2), (4, "no_result", 2, 3, 2)]
+    assert [x.level for x in got if x.call_id == "z"] == [3]
+    assert [(x.position, x.status, x.n_results) for x in got if x.call_id == "x"] == [(1, "no_call", 2), (2, "no_call", 2)]
+    assert sorted((x.position, x.status) for x in got if x.conv_id == 1 and x.call_id is None) == [(6, "no_result"), (7, "no_result"), (9, "no_call")]
+    assert sum(x.conv_id is None for x in got) == 2 and sum('"ra"' in x.message or '"rb"' in x.message for x in got) == 2
