@@ -4,11 +4,13 @@ A document's set holds its distinct shingles of five words. Documents with 100 *
 the result has each document's smallest reachable doc_id.
 
 1. Sketch: every text once, to its set's size and two 64-bit sums that identify the set, the minima of 128 hashes as
-   4-bit lanes packed in eight longs, and 32 band keys of four full minima. One narrow pass, written once.
+   4-bit lanes packed in eight longs, and 32 band keys of four full minima. One narrow pass, written once. A shingle
+   is a 64-bit number made of its words' identities (`textkit.digests`), so sets of m and n different shingles seem to
+   share one with probability m * n / 2**64, and different sets seem equal with 2**-128.
 2. Classes: texts of equal sets are one class, represented by its smallest doc_id, so a group of copies of any size
    is one row from here on (map-side combined minimum).
 3. Bands: representatives with a band key in common are candidates. Each bucket is held as a star to its smallest
-   member, never as all its pairs. Sizes and the collision-corrected estimate from the packed lanes (a lane differs
+   member, never as all its pairs; members meet it in a merge join, whose hot keys adaptive execution splits. Sizes and the collision-corrected estimate from the packed lanes (a lane differs
    where an XOR leaves a bit; a chance collision has probability 1/16) drop what cannot link.
 4. Confirm: each representative with its best centre, then star links between components, on full sets.
 5. Rest: buckets that still hold several components are settled in blocks of at most 2 * BLOCK members: the lanes
@@ -20,8 +22,10 @@ No candidate is capped: every pair that shares a bucket is either in one compone
 similarity 0.75 shares none of 32 bands with probability 5e-6, and falls below the cut (6 standard errors) with 1e-9.
 
 Defined results: null and empty texts and texts without words have an empty set, link with nothing and are kept. Fewer
-words than five are one shingle. Rows that share a doc_id are one node. A null doc_id links with nothing and is kept.
-Extra columns are not read. Empty tables give empty results.
+words than five are one shingle. Rows that share a doc_id are one node, whatever their texts. A null doc_id links with
+nothing and is kept. A very long text is one row like any other, hashed whole in a batch of its own. Of equal sets the
+smallest id represents them all, and ties between centres go to the smallest. Extra columns are not read, whatever their
+names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ from pyspark.sql import types as T
 
 from . import components
 from . import textkit as tk
-from .shared import bounded_batches, table, written
+from .shared import bounded_batches, free_name, table, written
 
 SHINGLE = 5
 K, BANDS, BITS = 128, 32, 4
@@ -59,15 +63,15 @@ LEAST_EQUAL = int(np.ceil(K * (_CHANCE + (1 - _CHANCE) * CUT)))
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each row, and the n + 1 offsets of the rows in them."""
     words = tk.words_of(data, offsets, tk.SPACES, fold=True)
-    n = len(offsets) - 1
-    at, h = tk.windows(words, SHINGLE)
+    n, own_hash = len(offsets) - 1, tk.digests(words)
+    at, h = tk.windows(words, SHINGLE, own_hash)
     row = words.row[at]
     few = np.flatnonzero((np.diff(words.first) > 0) & (np.diff(words.first) < SHINGLE))
     if len(few):
         own = np.empty(len(few), np.uint64)
         for k, r in enumerate(few):
             x = int(words.first[r + 1] - words.first[r])
-            for w in words.hash[words.first[r] : words.first[r + 1]].tolist():
+            for w in own_hash[words.first[r] : words.first[r + 1]].tolist():
                 x = (x * 0x9FB21C651E98DF25 + w) % (1 << 64)
             own[k] = x
         row, h = np.concatenate((row, few)), np.concatenate((h, tk.mix(own)))
@@ -288,7 +292,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     lanes = reps.select("rep", "n", *_SIGNATURE)
     keys = reps.select("rep", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("most"), F.count("*").alias("c")).where("most > centre").drop("most")
-    members = written(keys.join(buckets, "key"), "members")
+    members = written(keys.join(buckets.hint("merge"), "key"), "members")
 
     stars = members.where("rep != centre").groupBy("rep", "centre").agg(F.count("*").alias("shared"))
     judged = stars.join(lanes.alias("x"), "rep").join(lanes.alias("y").withColumnRenamed("rep", "centre"), "centre").where(_close_sizes("x.n", "y.n"))
@@ -323,28 +327,47 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     sets = sets.union(_sets(rows, missing))
     full = open_rows.join(sets.withColumnRenamed("id", "rep"), "rep").select(*schema.names, "set")
     found = full.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_settle, "a bigint, b bigint")
-    rooted = _relabelled(rooted, components.components(found))
+    rooted = written(_relabelled(rooted, components.components(found)), "rooted")
 
+    repeated = _repeated_ids(sketch, classes)
+    if repeated is not None:
+        least = repeated.groupBy("id").agg(F.min("rep").alias("a"))
+        ties = with_roots(with_roots(repeated.join(least, "id").where("rep != a"), "a", "p"), "rep", "q").select(F.col("p").alias("a"), F.col("q").alias("b"))
+        rooted = written(_relabelled(rooted, components.components(ties)), "rooted")
     named = classes.join(rooted.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("root", "rep").alias("component"))
     out = sketch.select("id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left")
+    if repeated is not None:  # rows of such an id that have no shingles
+        whole = with_roots(repeated, "rep", "root").groupBy("id").agg(F.min("root").alias("whole"))
+        out = out.join(whole, "id", "left").withColumn("component", F.coalesce("whole", "component"))
     out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _repeated_ids(sketch: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """(id, rep) of the ids whose rows have different sets: each with the representatives of its classes."""
+    one = F.struct("n", "h1", "h2")
+    many = written(sketch.where("id is not null").groupBy("id").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo != hi").select("id"), "repeated")
+    if many.isEmpty():
+        return None
+    own = sketch.where("n > 0").join(many, "id", "left_semi").select("id", "n", "h1", "h2").distinct()
+    return written(own.join(classes, ["h1", "h2", "n"]).select("id", "rep").distinct(), "repeated")
+
+
 def distinct_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that are kept, with their columns; of rows that repeat an id, the one of the smallest text hash.
+    """The rows of docs that are kept, with their columns; of rows that repeat an id, one of the smallest text hash.
 
     A row without an id is kept.
     """
-    gone = near_duplicates(docs, doc_id, text).where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
-    rest = docs.join(gone, F.col(doc_id) == F.col("__id"), "left_anti")
-    many = docs.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1").select("__id")
+    key, n, whole = (free_name(docs, c) for c in ("id", "n", "row"))
+    gone = near_duplicates(docs, doc_id, text).where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
+    rest = docs.join(gone, F.col(doc_id) == F.col(key), "left_anti")
+    many = docs.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias(key)).agg(F.count("*").alias(n)).where(F.col(n) > 1).select(key)
     if many.isEmpty():
         return rest
-    once = rest.join(many, F.col(doc_id) == F.col("__id"), "left_anti")
-    first = rest.join(many, F.col(doc_id) == F.col("__id"), "left_semi").groupBy(F.col(doc_id).alias("__id"))
+    once = rest.join(many, F.col(doc_id) == F.col(key), "left_anti")
+    first = rest.join(many, F.col(doc_id) == F.col(key), "left_semi").groupBy(F.col(doc_id).alias(key))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    return once.unionByName(first.agg(F.min_by(row, F.struct(F.xxhash64(text), F.length(text))).alias("__row")).select("__row.*"))
+    return once.unionByName(first.agg(F.min_by(row, F.struct(F.xxhash64(text), F.length(text))).alias(whole)).select(f"{whole}.*"))
 
 
 def _relabelled(rooted: DataFrame, joined: DataFrame) -> DataFrame:

@@ -5,14 +5,17 @@ and stores the outcome as one bit per rule in `failures`; texts are not needed a
 versioned sets of rules (masks), so `apply_policy` and `ablation` are bitwise operations over the ledger.
 
 Defined results: a null or empty text has no words, no lines and no symbols, and so fails `few_words`.
-Repeated rows are judged alike, each by itself. Other columns pass through unread; a column of the input with
-the name of a measurement makes `measure` use its `prefix` parameter or fail with a clear message. An empty
-table gives an empty ledger and an ablation of zero counts.
+Repeated rows are judged alike, each by itself; ties don't occur, as every text is judged on its own. A very long
+text is measured whole, in a batch of its own. Other columns pass through unread. Where the input has a column of
+the name of a measurement or of the mask, the new one takes an underscore in front of its name (more, if that
+is taken too), and `ledger` takes the `names` that `measured_names` gives. An empty table gives an empty ledger and
+an ablation of zero counts.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,9 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .shared import bounded_batches
+from .shared import bounded_batches, free_name
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+WINDOW = 3
 _SYMBOL = tk.separators("#*$%&|<>")
 _NEWLINE = tk.separators("\n")
 
@@ -41,40 +45,72 @@ def _measured(col: pa.Array) -> dict[str, np.ndarray]:
         symbols = np.concatenate(([0], np.cumsum(_SYMBOL[b])))
         lines = tk.words_of(data, own, _NEWLINE)
         filled = np.searchsorted(words.start, lines.end) > np.searchsorted(words.start, lines.start)
-        row_key = tk.mix(np.arange(hi - lo, dtype=np.uint64) + np.uint64(1))
-        line_key, at = np.unique((lines.hash ^ row_key[lines.row])[filled], return_index=True)
         n_lines = np.bincount(lines.row[filled], minlength=hi - lo)
-        n_distinct = np.bincount(lines.row[filled][at], minlength=hi - lo)
-        where, h = tk.windows(words, 3)
-        _, which, times = np.unique(h ^ row_key[words.row[where]], return_inverse=True, return_counts=True)
-        again = where[times[which] > 1]
-        covered = np.zeros(len(words.start) + 2, np.int64)
-        for k in range(3):
-            covered[again + k] = 1
+        n_dup_lines, covered = _repeated(words, lines, filled, hi - lo)
         edge = own - own[0]
         parts["n_words"].append(np.diff(words.first))
         parts["word_chars"].append(tk.sums(heads[words.end] - heads[words.start], words.first))
         parts["n_symbols"].append(symbols[edge[1:]] - symbols[edge[:-1]])
         parts["n_lines"].append(n_lines)
-        parts["n_dup_lines"].append(n_lines - n_distinct)
-        parts["n_repeat_words"].append(tk.sums(covered[: len(words.start)], words.first))
+        parts["n_dup_lines"].append(n_dup_lines)
+        parts["n_repeat_words"].append(tk.sums(covered, words.first))
     return {k: np.concatenate(v).astype(np.int64) if v else np.empty(0, np.int64) for k, v in parts.items()}
 
 
+def _repeated(words: tk.Words, lines: tk.Words, filled: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the lines that equal an earlier one, and for each word whether a window that holds it recurs.
+
+    Equal hashes propose, bytes decide; where they disagree, the rows are counted again on their contents.
+    """
+    row_key = tk.mix(np.arange(rows, dtype=np.uint64) + np.uint64(1))
+    at = np.flatnonzero(filled)
+    _, first, which = np.unique((lines.hash ^ row_key[lines.row])[at], return_index=True, return_inverse=True)
+    again = np.ones(len(at), bool)
+    again[first] = False
+    a, b = at[again], at[first[which[again]]]
+    right = (lines.row[a] == lines.row[b]) & tk.same_spans(lines.data, lines.start[a], lines.end[a], lines.start[b], lines.end[b])
+    n_dup_lines = np.bincount(lines.row[a], minlength=rows)
+
+    where, h = tk.windows(words, WINDOW)
+    _, first, which, times = np.unique(h ^ row_key[words.row[where]], return_index=True, return_inverse=True, return_counts=True)
+    many = times[which] > 1
+    c, d = where[many], where[first[which[many]]]
+    same = words.row[c] == words.row[d]
+    for k in range(WINDOW):
+        same &= tk.same_spans(words.data, words.start[c + k], words.end[c + k], words.start[d + k], words.end[d + k])
+    covered = np.zeros(len(words.start), np.int64)
+    for k in range(WINDOW):
+        covered[c + k] = 1
+    for r in sorted({*lines.row[a[~right]].tolist(), *lines.row[b[~right]].tolist(), *words.row[c[~same]].tolist(), *words.row[d[~same]].tolist()}):
+        own = np.flatnonzero(filled & (lines.row == r))
+        n_dup_lines[r] = len(own) - len({lines.data[x:y].tobytes() for x, y in zip(lines.start[own], lines.end[own], strict=True)})
+        lo, hi = words.first[r], words.first[r + 1]
+        said = [words.data[x:y].tobytes() for x, y in zip(words.start[lo:hi], words.end[lo:hi], strict=True)]
+        found = Counter(zip(*(said[k:] for k in range(WINDOW))))  # noqa: B905
+        covered[lo:hi] = 0
+        for k in range(len(said) - WINDOW + 1):
+            if found[tuple(said[k : k + WINDOW])] > 1:
+                covered[lo + k : lo + k + WINDOW] = 1
+    return n_dup_lines, covered
+
+
 @F.arrow_udf(T.StructType([T.StructField(k, T.LongType()) for k in MEASURES]))
 def _measure(text: pa.Array) -> pa.Array:
     found = _measured(text)
     return pa.StructArray.from_arrays([pa.array(found[k]) for k in MEASURES], names=list(MEASURES))
 
 
-def measure(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """Appends the measurements of each text, named prefix + measurement."""
-    clash = {c.lower() for c in docs.columns} & {f"{prefix}{k}".lower() for k in MEASURES}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are taken; choose a prefix")
+def measured_names(docs: DataFrame) -> dict[str, str]:
+    """The columns in which `measure` puts the measurements of docs."""
+    return {k: free_name(docs, k) for k in MEASURES}
+
+
+def measure(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Appends the measurements of each text."""
     bounded_batches(docs.sparkSession)
-    got = docs.select("*", _measure.asNondeterministic()(F.col(text)).alias("__measured"))
-    return got.select("*", *(F.col(f"__measured.{k}").alias(f"{prefix}{k}") for k in MEASURES)).drop("__measured")
+    x, names = free_name(docs, "measured"), measured_names(docs)
+    got = docs.select("*", _measure.asNondeterministic()(F.col(text)).alias(x))
+    return got.select("*", *(F.col(f"{x}.{k}").alias(v) for k, v in names.items())).drop(x)
 
 
 @dataclass(frozen=True)
@@ -107,13 +143,13 @@ def mask_of(policy: str, rules: tuple[Rule, ...] = RULES, policies: dict = POLIC
     return sum(bits[name] for name in policies[policy])
 
 
-def ledger(measured: DataFrame, rules: tuple[Rule, ...] = RULES, name: str = "failures") -> DataFrame:
-    """Appends the bitmask of failed rules."""
-    bits = [F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("bigint") for r in rules]
+def ledger(measured: DataFrame, rules: tuple[Rule, ...] = RULES, name: str = "failures", names: dict[str, str] | None = None) -> DataFrame:
+    """Appends the bitmask of failed rules. names: the measurements' columns, if they aren't called as the rules do."""
+    bits = [F.when(F.expr(_renamed(r.fails, names or {})), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("bigint") for r in rules]
     mask = bits[0]
     for b in bits[1:]:
         mask = mask.bitwiseOR(b)
-    return measured.withColumn(name, mask)
+    return measured.withColumn(free_name(measured, name), mask)
 
 
 def passes(policy: str, failures: str | Column = "failures", **parts) -> Column:
@@ -123,16 +159,13 @@ def passes(policy: str, failures: str | Column = "failures", **parts) -> Column:
 
 def apply_policy(docs: DataFrame, policy: str = "standard-1", text: str = "text") -> DataFrame:
     """The rows of docs that pass, with the columns of docs."""
-    prefix = "__q_"
-    rules = tuple(Rule(r.bit, r.name, _prefixed(r.fails, prefix)) for r in RULES)
-    got = ledger(measure(docs, text, prefix), rules, "__q_failures").where(passes(policy, "__q_failures"))
+    measured = measure(docs, text)
+    got = ledger(measured, names=measured_names(docs)).where(passes(policy, free_name(measured, "failures")))
     return got.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-def _prefixed(condition: str, prefix: str) -> str:
-    for k in sorted(MEASURES, key=len, reverse=True):
-        condition = re.sub(rf"\b{k}\b", prefix + k, condition)
-    return condition
+def _renamed(condition: str, names: dict[str, str]) -> str:
+    return re.sub(r"\b\w+\b", lambda m: f"`{names[m[0]]}`" if m[0] in names else m[0], condition)
 
 
 def ablation(judged: DataFrame, policy: str = "standard-1", failures: str = "failures") -> DataFrame:

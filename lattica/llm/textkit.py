@@ -1,21 +1,25 @@
 """Vectorised word splitting and hashing over Arrow string columns.
 
 Text is handled as UTF-8 bytes. Words are maximal runs of bytes that a 256-entry table does not
-mark as separators; as all separators are ASCII, no character is ever cut. Spans are hashed by
-polynomial prefix sums modulo 2**64, so hashing costs a few numpy passes and no Python loop over words.
+mark as separators; as all separators are ASCII, no character is ever cut. Spans are hashed eight bytes at a
+time, all spans side by side, so hashing costs a few numpy passes and no Python loop over words. Equal hashes
+don't prove equal spans: `same_spans` compares bytes, and where spans of different texts must be told apart without
+their bytes, `digests` gives words identities that no structure of a text makes equal.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 19
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_powers: list[np.ndarray] = []
+#: Spans longer than this are digested or compared one by one, others side by side.
+LONG = 4096
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_KEY = b"lattica words"
 
 
 def separators(chars: str | bytes) -> np.ndarray:
@@ -32,23 +36,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def _inverse(a: int) -> int:
-    return pow(a, -1, 1 << 64)
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least n of them."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, SEGMENT + 1)
-        out = []
-        for base in (int(_BASE), _inverse(int(_BASE))):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        _powers[:] = out
-    return _powers[0], _powers[1]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit hashes."""
     h = h ^ (h >> np.uint64(32))
@@ -59,14 +46,60 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _eights(b: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of b on, as integers; zeros follow the last byte."""
+    padded = np.zeros(len(b) + 8, np.uint8)
+    padded[: len(b)] = b
+    return np.ndarray((len(b) + 1,), "<u8", padded.data, strides=(1,))
+
+
+def _digest(span: bytes) -> bytes:
+    return hashlib.blake2b(span, digest_size=8, key=_KEY).digest()
+
+
 def hash_spans(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of b[start:end] for each pair; b holds bytes."""
-    up, down = _tables(len(b) + 1)
-    acc = np.empty(len(b) + 1, np.uint64)
-    acc[0] = 0
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=acc[1:])
-    h = (acc[ends] - acc[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    at, n = _eights(b), ends - starts
+    h = mix((at[starts] & _MASK[np.minimum(n, 8)]) ^ np.uint64(0x9E3779B97F4A7C15))
+    live, off = np.flatnonzero(n > 8), 8
+    while len(live) and off < LONG:
+        h[live] = mix(h[live] * np.uint64(0x9FB21C651E98DF25) + (at[starts[live] + off] & _MASK[np.minimum(n[live] - off, 8)]))
+        off += 8
+        live = live[n[live] > off]
+    for k in live:
+        h[k] = int.from_bytes(_digest(b[starts[k] : ends[k]].tobytes()), "little")
+    return mix(h + n.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def same_spans(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, starts2: np.ndarray, ends2: np.ndarray) -> np.ndarray:
+    """Whether b[start:end] and b[start2:end2] hold the same bytes, for each pair."""
+    at, n = _eights(b), ends - starts
+    same = n == ends2 - starts2
+    live, off = np.flatnonzero(same & (starts != starts2)), 0
+    while len(live) and off < LONG:
+        differ = ((at[starts[live] + off] ^ at[starts2[live] + off]) & _MASK[np.minimum(n[live] - off, 8)]) != 0
+        same[live[differ]] = False
+        off += 8
+        live = live[~differ & (n[live] > off)]
+    for k in live:
+        same[k] = np.array_equal(b[starts[k] : ends[k]], b[starts2[k] : ends2[k]])
+    return same
+
+
+def digests(words: Words) -> np.ndarray:
+    """64-bit identities of the words: up to eight bytes mixed one to one, of longer words a keyed BLAKE2 digest.
+
+    Each distinct long word is digested once; if two of one hash differ in their bytes, each is digested by itself.
+    """
+    out = words.hash.copy()
+    long = np.flatnonzero(words.end - words.start > 8)
+    start, end = words.start[long], words.end[long]
+    _, at, which = np.unique(words.hash[long], return_index=True, return_inverse=True)
+    if not same_spans(words.data, start, end, start[at][which], end[at][which]).all():
+        at, which = np.arange(len(long)), slice(None)
+    raw = words.data.tobytes()
+    out[long] = np.frombuffer(b"".join(_digest(raw[s:e]) for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)), "<u8")[which]
+    return out
 
 
 def column_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,8 +125,9 @@ def groups(offsets: np.ndarray, size: int = 1 << 21) -> Iterator[tuple[int, int]
 
 @dataclass
 class Words:
-    """Words of some rows. first: n + 1 offsets of the rows' first words; start, end: bytes from the first row's start."""
+    """Words of some rows. first: n + 1 offsets of the rows' first words; start, end: places in data, the rows' bytes."""
 
+    data: np.ndarray
     first: np.ndarray
     start: np.ndarray
     end: np.ndarray
@@ -118,16 +152,9 @@ def words_of(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, fold: boo
         ends_at[1:n] = inner[:-1] & (sep[1:] | edge[1:n])
         ends_at[n] = inner[-1]
     start, stop = np.flatnonzero(starts_at), np.flatnonzero(ends_at)
-    hashes = np.empty(len(start), np.uint64)
-    lo = 0
-    while lo < len(start):
-        hi = max(lo + 1, int(np.searchsorted(stop, start[lo] + SEGMENT, "right")))
-        at = start[lo]
-        hashes[lo:hi] = hash_spans(b[at : stop[hi - 1]], start[lo:hi] - at, stop[lo:hi] - at)
-        lo = hi
     first = np.searchsorted(start, offsets - base)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    return Words(first, start, stop, hashes, row)
+    return Words(b, first, start, stop, hash_spans(b, start, stop), row)
 
 
 def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -136,9 +163,10 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return acc[first[1:]] - acc[first[:-1]]
 
 
-def windows(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the windows of so many consecutive words of one row, and their hashes."""
-    h, n = words.hash, len(words.hash) - size + 1
+def windows(words: Words, size: int, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the windows of so many consecutive words of one row, and their hashes, of the words' hashes h."""
+    h = words.hash if h is None else h
+    n = len(h) - size + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     at = np.flatnonzero(words.row[:n] == words.row[size - 1 :])

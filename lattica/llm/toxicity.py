@@ -59,14 +59,8 @@ def _subwords(b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start, owner, stop = map(np.concatenate, (starts, owners, stops))
     order = np.argsort(owner, kind="stable")
     start, stop = start[order], stop[order]
-    h = np.empty(len(start), np.uint64)
     first = np.searchsorted(owner[order], np.arange(len(lengths) + 1))
-    lo = 0
-    while lo < len(lengths):  # hashed in runs of words, so that the tables of powers stay small
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + tk.SEGMENT, "right")) - 1)
-        own = slice(first[lo], first[hi])
-        h[own] = tk.hash_spans(b[at[lo] : at[hi]], start[own] - at[lo], stop[own] - at[lo])
-        lo = hi
+    h = tk.hash_spans(b, start, stop)
     return (h >> np.uint64(64 - BITS)).astype(np.int64), first
 
 

@@ -7,11 +7,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from lattica.llm import textkit as tk
 from lattica.llm import bpe, chat, decontaminate, minhash, quality, token_counts, token_files, toxicity, urls, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -58,8 +60,9 @@ def test_quality_measures(docs, none):
         lines = [x for x in (t or "").split("\n") if WORD.search(x)]
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(covered)), i
-    with pytest.raises(ValueError):
-        quality.measure(docs)
+    clashing = quality.measure(docs)
+    assert clashing.columns == [*docs.columns, "_n_words", *quality.MEASURES[1:]] and {r.n_words for r in clashing.collect()} == {1}
+    assert quality.ledger(clashing, names=quality.measured_names(docs)).where("failures & 1 = 0 and _n_words < 50").isEmpty()
     kept = quality.apply_policy(docs, "standard-1")
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {12}
     assert quality.ledger(quality.measure(none.select("doc_id", "text"))).count() == 0
@@ -69,6 +72,45 @@ def test_quality_measures(docs, none):
     assert table["few_words"].n_kept_without == judged.where("failures & 14 = 0").count()
 
 
+def thue_morse(n):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_structured_texts_are_told_apart(spark, n):
+    """Texts of this kind are equal under polynomial hashes modulo a power of two, whatever their base."""
+    a, b = thue_morse(n)
+    lines = f"{a}\n{b}\n{a}"
+    words = f"{a} x y {b} x y {a} x z"
+    five = " ".join([a, *PROSE[:4]]), " ".join([b, *PROSE[:4]])
+    docs = spark.createDataFrame([(1, lines), (2, words), (3, a), (4, b), (5, f"{a} {b}"), (6, f"{b} {a}"), (7, five[0]), (8, five[1])], "doc_id bigint, text string")
+    got = by_id(quality.measure(docs))
+    assert (got[1].n_dup_lines, got[2].n_repeat_words) == (1, 0)
+    near = by_id(minhash.near_duplicates(docs))
+    assert {k: r.component_id for k, r in near.items()} == {k: k for k in range(1, 9)}
+
+
+def test_equal_hashes_of_different_spans_are_found_out(monkeypatch):
+    texts = [t for t in TEXTS if t is None or len(t) < 5000] + ["a\nb\na\nc", "p q r p q r s", "p q r s p q t"]
+    plain = quality._measured(pa.array(texts, pa.string()))
+    data, offsets = tk.column_bytes(pa.array(["wonderful wonderous wonderful", "wonderous"]))
+    monkeypatch.setattr(tk, "hash_spans", lambda b, starts, ends: np.zeros(len(starts), np.uint64))
+    clashing = quality._measured(pa.array(texts, pa.string()))
+    assert all((plain[k] == clashing[k]).all() for k in quality.MEASURES)
+    d = tk.digests(tk.words_of(data, offsets, tk.SPACES)).tolist()
+    assert d[0] == d[2] != d[1] == d[3]
+
+
+def test_rows_of_one_id_are_one_node(spark):
+    a, b, c = " ".join(PROSE), " ".join(reversed(PROSE)), " ".join(PROSE[::2])
+    rows = [(3, a), (7, a), (7, b), (9, b), (12, c), (12, ""), (14, c), (20, None), (20, "alone"), (5, c)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(3, 3, True), (5, 5, True), (7, 3, False), (7, 3, False), (9, 3, False), (12, 5, False), (12, 5, False), (14, 5, False), (20, 20, True), (20, 20, True)]
+
+
 def test_contamination(spark, docs, none):
     items = [(1, " ".join(PROSE[:14])), (2, "Lazy, dog!"), (3, None), (4, "..."), (None, "seven old wizards"), (2, "Lazy, dog!")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
