@@ -13,10 +13,14 @@ _made: list[tuple[SparkSession, str]] = []
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder's path below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (tests on one machine) a folder in /tmp is taken.
+    Where that setting is absent, a folder in /tmp is taken on one machine (a local master); a cluster must name it.
     """
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    path = f"{(top or 'file:///tmp/checkpoints').rstrip('/')}/lattica/{name}-{uuid.uuid4().hex}"
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = "file:///tmp/checkpoints"
+    path = f"{top.rstrip('/')}/lattica/{name}-{uuid.uuid4().hex}"
     _made.append((spark, path))
     return path
 
@@ -40,4 +44,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def remove_table(df: DataFrame) -> None:
+    """Deletes what `written` returned, once nothing reads it any more; rounds of an iteration do not pile up so."""
+    remove(df.sparkSession, df.stored_at)
