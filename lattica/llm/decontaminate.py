@@ -6,19 +6,25 @@ vocabulary: each of its words is one code point, so a window is a string of at m
 word of a document is the one character that no window holds. A document's code string is scanned once; as it has a
 character for each word, match positions are word positions, which the word spans map back to offsets in the text.
 
-Only the benchmark's windows are broadcast; `max_windows` bounds them (a longer benchmark is refused with a clear
-message and should be scanned in parts). Documents are never shuffled, so copies, hot sources and very long texts
+Benchmarks are read in parts of at most `max_words` words, each an automaton that is built once in a Python worker, so
+neither the driver nor a worker holds more of them. One part, as common benchmarks are, takes one pass. Of more
+parts each takes a pass of its own, with the documents and what was found so far written to the shared folder between
+them; hit words and items of all parts are united, so the result is that of one automaton. Items longer than a part
+are cut into pieces that share all windows. Documents are never shuffled, so copies, hot sources and very long texts
 cost what their bytes cost.
 
 Defined results: null or empty texts and texts without words have no words, no hits and are not contaminated. Items
 without words have no window; repeated items each count; an item without an id counts for hits and not for ids.
-Repeated document rows are judged each by itself. An empty benchmark hits nothing. Extra columns pass through.
+Windows that many items share belong to all of them. Repeated document rows are judged each by itself; a very long text
+is scanned whole. An empty benchmark hits nothing, and an empty table gives an empty result. Extra columns pass through;
+where one has the name of the new column, the new one takes an underscore in front (`free_name`).
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -26,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textkit as tk
-from .shared import bounded_batches
+from .shared import bounded_batches, free_name, remove_table, written
 
 WINDOW = 13
-MAX_WINDOWS = 5_000_000
+#: Words of the benchmark in one automaton; it takes some 0.6 kB for each, and a code point for each distinct one.
+MAX_WORDS = 500_000
 #: Lower-cases A-Z and turns every byte that no word holds into a space.
 _FOLD = bytes(32 if tk.NOT_ALNUM[x] and not 65 <= x <= 90 else int(tk.LOWER[x]) for x in range(256))
 _OTHER = "\x00"
@@ -48,15 +56,15 @@ def _code(k: int) -> str:
 
 
 class Automaton:
-    """Windows of the items; built once in each Python worker from (item_id, text) pairs."""
+    """Windows of the items; built once in each Python worker from items' ids and words."""
 
-    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.codes: dict[bytes, str] = {}
         owners: dict[str, set[str]] = defaultdict(set)
-        for item, text in items:
-            coded = "".join(self.codes.setdefault(w, _code(len(self.codes))) for w in normalised(text))
+        for item, words in items:
+            coded = "".join(self.codes.setdefault(w, _code(len(self.codes))) for w in words)
             for k in range(max(1, len(coded) - window + 1) if coded else 0):
-                owners[coded[k : k + window]] |= set() if item is None else {str(item)}
+                owners[coded[k : k + window]] |= set() if item is None else {item}
         self.owners = [frozenset(x) for x in owners.values()]
         self.tree = ahocorasick.Automaton()
         for k, w in enumerate(owners):
@@ -98,34 +106,76 @@ def _offsets(text: str, ranges: list[tuple[int, int]]) -> list[dict]:
     return [{"start": int(point[found.start[a]]) - 1, "end": int(point[found.end[b - 1] - 1])} for a, b in ranges]
 
 
-_RESULT = T.StructType(
-    [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
-)
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+_RESULT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", _SPANS), T.StructField("ranges", _SPANS)])
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, max_windows: int = MAX_WINDOWS, out: str = "contamination") -> DataFrame:
-    """Appends, as out: n_words, n_hit, the sorted ids of items that occur, and the hit spans of the text."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    words = F.sum(F.length(F.coalesce(F.col(item_text), F.lit(""))))
-    if (size := benchmark.agg(words).first()[0] or 0) > 2 * max_windows:
-        raise ValueError(f"the benchmark may have over {max_windows} windows ({size} characters); scan it in parts")
-    items = [tuple(r) for r in benchmark.select(item, item_text).collect()]
-    key = hashlib.sha256(repr((sorted(items, key=repr), window)).encode()).hexdigest()
-    shared = spark.sparkContext.broadcast((key, items, window))
+def parts_of(benchmark: DataFrame, item: str, text: str, window: int, max_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """Items' ids and words in parts of at most max_words (or a window) words, an item's pieces sharing window - 1 words."""
+    most = max(max_words, window)
+    part: list[tuple[str | None, list[bytes]]] = []
+    size = 0
+    for own, raw in benchmark.select(F.col(item).cast("string"), text).toLocalIterator():
+        words = normalised(raw)
+        while words:
+            if size and most - size < min(len(words), window):
+                yield part
+                part, size = [], 0
+            k = min(len(words), max(most - size, window))
+            part.append((own, words[:k]))
+            size += k
+            words = words[k - window + 1 :] if k < len(words) else []
+    if part:
+        yield part
+
+
+def _united(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(a + b):
+        if out and lo <= out[-1][1]:
+            out[-1] = out[-1][0], max(hi, out[-1][1])
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _pass(docs: DataFrame, items: list, window: int, text: str, earlier: str | None, out: str) -> DataFrame:
+    key = hashlib.sha256(repr((items, window)).encode()).hexdigest()
+    shared = docs.sparkSession.sparkContext.broadcast((key, items, window))
 
     @F.arrow_udf(_RESULT)
-    def judge(texts: pa.Array) -> pa.Array:
-        tree, out = _automaton(shared), []
-        for t in texts:
-            t = t.as_py() or ""
-            ws = normalised(t)
-            ranges, seen = tree.scan(ws)
-            ids = sorted(set().union(*(tree.owners[k] for k in seen))) if seen else []
-            out.append({"n_words": len(ws), "n_hit": sum(b - a for a, b in ranges), "items": ids, "spans": _offsets(t, ranges) if ranges else []})
-        return pa.array(out, type=pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]))
-
-    return docs.select("*", judge.asNondeterministic()(F.col(text)).alias(out))
+    def judge(texts: pa.Array, before: pa.Array) -> pa.Array:
+        tree, found = _automaton(shared), []
+        for t, was in zip(texts, before, strict=True):
+            t, was = t.as_py() or "", was.as_py()
+            words = normalised(t)
+            ranges, seen = tree.scan(words)
+            ids = set().union(*(tree.owners[k] for k in seen)) if seen else set()
+            if was:
+                ranges = _united(ranges, [(x["start"], x["end"]) for x in was["ranges"]])
+                ids |= set(was["items"])
+            listed = [{"start": lo, "end": hi} for lo, hi in ranges]
+            found.append({"n_words": len(words), "n_hit": sum(b - a for a, b in ranges), "items": sorted(ids), "spans": _offsets(t, ranges) if ranges else [], "ranges": listed})
+        return pa.array(found, type=to_arrow_type(_RESULT))
+
+    before = F.lit(None).cast(_RESULT) if earlier is None else F.col(earlier)
+    return docs.select("*", judge.asNondeterministic()(F.col(text), before).alias(out))
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS, out: str = "contamination") -> DataFrame:
+    """Appends, as out: n_words, n_hit, the sorted ids of items that occur, and the hits as spans of the text and ranges of words."""
+    bounded_batches(docs.sparkSession)
+    parts = parts_of(benchmark, item, item_text, window, max_words)
+    name, other = free_name(docs, out), free_name(docs, f"{out}_before")
+    got = _pass(docs, next(parts, []), window, text, None, name)
+    last = None
+    for part in parts:
+        own = written(got.withColumnRenamed(name, other), "contamination")
+        got = _pass(own, part, window, text, other, name).drop(other)
+        if last is not None:
+            remove_table(last)
+        last = own
+    return got
 
 
 def contaminated(result: str = "contamination"):

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.sources.stored import remove, work_dir, written
+from lattica.sources.stored import remove, remove_table, work_dir, written
 
-__all__ = ["bounded_batches", "free_name", "remove", "table", "work_dir", "written"]
+__all__ = ["bounded_batches", "free_name", "remove", "remove_table", "table", "work_dir", "written"]
 
 
 def free_name(df: DataFrame, name: str) -> str:

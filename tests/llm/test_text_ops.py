@@ -136,8 +136,35 @@ def test_contamination(spark, docs, none):
     assert TEXTS[7][spans[0].start : spans[0].end].lower().startswith("the quick")
     assert decontaminate.scan(docs, bench.where("1 = 0"), out="found").where("found.n_hit > 0").isEmpty()
     assert decontaminate.scan(none, bench, out="found").isEmpty()
-    with pytest.raises(ValueError):
-        decontaminate.scan(docs, bench, max_windows=1)
+    # parts of any size, items cut into pieces, and a clashing column give the result of one automaton
+    whole = [tuple(r) for r in decontaminate.scan(docs, bench, out="found").select("doc_id", "found.*").orderBy("doc_id").collect()]
+    for most in (13, 15):
+        parted = decontaminate.scan(docs, bench, max_words=most)
+        assert parted.columns == [*docs.columns, "_contamination"]
+        assert [tuple(r) for r in parted.select("doc_id", "_contamination.*").orderBy("doc_id").collect()] == whole
+
+
+def test_parts_of_a_benchmark_share_all_windows(spark):
+    items = [(k, " ".join(f"v{k % 3}x{i}" for i in range(n))) for k, n in enumerate([40, 5, 13, 14, 0, 100, 12])]
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    cut = lambda ws: {tuple(ws[k : k + 13]) for k in range(max(1, len(ws) - 12))} if ws else set()
+    want = {str(k): cut(decontaminate.normalised(t)) for k, t in items if t}
+    for most in (1, 13, 20, 57, 1000):
+        got: dict = {}
+        for part in decontaminate.parts_of(bench, "item_id", "text", 13, most):
+            assert sum(len(ws) for _, ws in part) <= max(most, 13)
+            for k, ws in part:
+                got.setdefault(k, set()).update(cut(ws))
+        assert got == want, most
+
+
+def test_more_distinct_words_than_one_automaton_takes(spark):
+    decontaminate._code(decontaminate.MAX_WORDS)  # a code point for each word, even if all are distinct
+    n = 3000
+    bench = spark.createDataFrame([(1, " ".join(f"q{i}" for i in range(n))), (2, "alpha beta")], "item_id int, text string")
+    said = " ".join(f"q{i}" for i in range(n - 13, n)), " ".join(f"q{i}" for i in range(13)) + " alpha beta", " ".join(f"q{i}" for i in range(7, 19))
+    got = decontaminate.scan(spark.createDataFrame(list(enumerate(said)), "doc_id int, text string"), bench, max_words=1000).orderBy("doc_id").collect()
+    assert [(r.contamination.n_hit, r.contamination["items"]) for r in got] == [(13, ["1"]), (15, ["1", "2"]), (0, [])]
 
 
 def shingles(text):
@@ -346,6 +373,69 @@ def test_url_rules_and_trees(spark):
     assert urls.judge(pages, urls.fit(train.where("1 = 0"))).where("rule is null and verdict != 'allow'").isEmpty()
     assert urls.judge(pages, urls.fit(train.where("label = 1"))).where("rule is null and verdict != 'block'").isEmpty()
     assert urls.judge(pages.where("1 = 0"), model).isEmpty()
+    clashing = pages.withColumns({"host": F.lit("mine"), "score": F.lit("own"), "rule_verdict": F.lit("r"), "tail1": F.lit("t")})
+    got = urls.judge(clashing, model)
+    assert got.columns == [*clashing.columns, "_host", "path", "rule", "_score", "verdict"]
+    assert {(r.x_mine, r.host, r.score, r.rule_verdict, r.tail1) for r in got.collect()} == {("y", "mine", "own", "r", "t")}
+    tie = urls.matched(urls.parts(pages.where("page_id = 0")), ("block com/en/7x", "allow com/en/7x", "block example.com/en/7"))
+    assert [(r.rule, r.rule_verdict) for r in tie.collect()] == [("example.com/en/7", "block")]
+    tie = urls.matched(urls.parts(pages.where("page_id = 0")), ("block com/en/7x", "allow com/en/7x"))
+    assert [(r.rule, r.rule_verdict) for r in tie.collect()] == [("com/en/7x", "allow")]
+    long = spark.createDataFrame([(1, "http://a.com/" + "x1/" * 200_000), (2, "http://" + "y" * 300_000)], "page_id int, url string")
+    assert [len(r.path) for r in urls.judge(long, model).orderBy("page_id").collect()] == [600_001, 0]
+
+
+def test_training_urls_are_distinct_and_bounded(spark):
+    rows = [("http://hot.zz/", 1)] * 5000 + [(f"http://a{k}.zz/{k}", 0) for k in range(3000)] + [(f"http://b{k}.yy/", 1) for k in range(40)] + [("http://hot.zz/", 0)]
+    got, totals, size = urls.training(spark.createDataFrame(rows, "url string, label int"), "url", "label", 400)
+    assert totals == {0: (3001, 3001), 1: (41, 5040)} and size == 400
+    kept = got.collect()
+    assert 330 < len(kept) < 470 and sum(r.y for r in kept) == 41
+    hot = next(r.w for r in kept if r.url == "http://hot.zz/" and r.y == 1)
+    assert abs(hot / urls._FIXED - 5000 * 400 / 8041) < 1e-6
+    whole, _, _ = urls.training(spark.createDataFrame(rows, "url string, label int"), "url", "label", 10_000)
+    assert whole.count() == 3042 and round(whole.agg(F.sum("w")).first()[0] / urls._FIXED, 3) == 3042
+
+
+def test_tree_levels_by_brute_force(spark):
+    """One tree's splits and leaves against sums over the rows in plain Python."""
+    rng = np.random.default_rng(6)
+    rows = [(f"http://{'s' * int(rng.integers(1, 9))}.zz/{'p/' * int(rng.integers(0, 6))}{int(rng.integers(0, 99))}", int(rng.random() < 0.3)) for _ in range(300)]
+    train = spark.createDataFrame(rows, "url string, label int")
+    model = urls.fit(train)
+    x = urls.featured(urls.parts(train), "x_").withColumnRenamed("label", "y")
+    x = model.with_suffixes(x).select("y", *(F.col(f"x_{c}").alias(c) for c in [*urls.lexical(), *urls._TAILS])).toPandas()
+    copies = Counter(rows)
+    w = np.array([1 / copies[r] for r in rows]) * np.array([copies[r] for r in rows]) * len(copies) / len(rows)
+    margin = np.full(len(rows), model.bias)
+
+    def leaf_sums(tree, at):
+        if not isinstance(tree, tuple):
+            g, h = ((p - x.y.to_numpy()) * w)[at].sum(), (p * (1 - p) * w)[at].sum()
+            assert abs(tree - -urls.RATE * g / (h + urls.LAMBDA)) < 1e-5
+            margin[at] += tree
+            return
+        left = at & (x[tree[0]] <= tree[1]).to_numpy()
+        leaf_sums(tree[2], left)
+        leaf_sums(tree[3], at & ~left)
+
+    for tree in model.trees:
+        p = 1 / (1 + np.exp(-margin))
+        leaf_sums(tree, np.ones(len(rows), bool))
+
+
+def test_url_rules_as_in_sql(spark):
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    db = duckdb.connect()
+    db.execute(f"create view pages as select * from '{folder}/pages.parquet'")
+    columns = "page_id, host, path, rule, rule_verdict"
+    want = sorted(db.execute(f"select {columns} from ({urls.ORACLE_SQL['url_rules']})").fetchall())
+    assert sorted(map(tuple, urls.op1_rules(spark, folder).select(*columns.split(", ")).collect())) == want
+    got = urls.op1_url_filter(spark, folder).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(tuple(r)[:4] for r in got) == [w[:4] for w in want]
+    assert all(r.verdict == v for r, (*_, v) in zip(sorted(got), want, strict=True) if v) and {r.verdict for r in got} == {"allow", "block"}
 
 
 def test_revisits(spark):
