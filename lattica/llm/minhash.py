@@ -235,8 +235,8 @@ def _open_pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     left = np.arange(len(root)) if one_block else np.flatnonzero(side == t["i"][0].as_py())
     right = left if one_block else np.flatnonzero(side != t["i"][0].as_py())
     out = []
-    for lo in range(0, len(left), 256):
-        a = left[lo : lo + 256]
+    for lo in range(0, len(left), 64):
+        a = left[lo : lo + 64]
         ok = (root[a][:, None] != root[right][None, :]) & (DENOMINATOR * np.minimum.outer(n[a], n[right]) >= NUMERATOR * np.maximum.outer(n[a], n[right]))
         if one_block:
             ok &= a[:, None] < right[None, :]
@@ -316,8 +316,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rooted = written(_relabelled(rooted, joined), "rooted")
 
     parted = with_roots(members.where("c > 2").drop("centre"), "rep", "root")
-    unsettled = parted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    dealt = parted.join(unsettled, "key", "left_semi").join(lanes, "rep")
+    unsettled = written(parted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), "unsettled")
+    few = unsettled.count() <= BROADCAST_IDS
+    dealt = parted.join(F.broadcast(unsettled) if few else unsettled.hint("merge"), "key", "left_semi").join(lanes, "rep")
     parts = F.ceil(F.col("c") / BLOCK).cast("int")
     dealt = dealt.withColumn("side", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     dealt = dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "root", "n", *_SIGNATURE)
