@@ -466,7 +466,7 @@ def test_tool_calls(spark):
     results = [(1, "a", 1, "r"), (1, "b", 2, None), (1, "x", 3, "lost"), (1, "a", 7, "again"), (1, None, 8, "n")]
     c = spark.createDataFrame(calls, "conv_id int, call_id string, position bigint, name string, arguments string, after string")
     r = spark.createDataFrame(results, "conv_id int, call_id string, position bigint, content string")
-    got = {(x.conv_id, x.call_id, x.status): x for x in chat.link(c, r).collect()}
+    got = {(x.conv_id, x.call_id, x.status): x for x in chat.link(c, r).orderBy("position").collect()}
     find = lambda conv, call: next(v for k, v in got.items() if k[:2] == (conv, call))
     assert (find(1, "a").status, find(1, "a").level, find(1, "a").n_calls, find(1, "a").n_results) == ("linked", 0, 2, 2)
     assert find(1, "a").message == '{"arguments":{"limit":3,"text":"x"},"call_id":"a","conv_id":1,"name":"lookup","result":"r"}'
@@ -484,10 +484,65 @@ def test_repeated_and_missing_identifiers_keep_every_call(spark):
     results = [(1, "k", 1, "ra"), (1, "k", 3, "rb"), (1, "x", 1, "u"), (1, "x", 2, "v"), (1, None, 9, "w")]
     c = spark.createDataFrame(calls, "conv_id int, call_id string, position bigint, name string, arguments string, after string")
     r = spark.createDataFrame(results, "conv_id int, call_id string, position bigint, content string")
-    got = chat.link(c, r).collect()
+    got = chat.link(c, r).orderBy("conv_id", "call_id", "position").collect()
     assert len(got) == len(calls) + 3  # two unmatched results of x and one without an identifier
     assert [(x.position, x.status, x.level, x.n_calls, x.n_results) for x in got if (x.conv_id, x.call_id) == (1, "k")] == [(0, "linked", 0, 3, 2), (2, "invalid", 1, 3, 2), (4, "no_result", 2, 3, 2)]
-    assert [x.level for x in got if x.call_id == "z"] == [3]
+    assert [x.seq for x in got if (x.conv_id, x.call_id) == (1, "k")] == [1, 2, 3]
+    assert [(x.level, x.seq) for x in got if x.call_id == "z"] == [(3, 4)]
     assert [(x.position, x.status, x.n_results) for x in got if x.call_id == "x"] == [(1, "no_call", 2), (2, "no_call", 2)]
     assert sorted((x.position, x.status) for x in got if x.conv_id == 1 and x.call_id is None) == [(6, "no_result"), (7, "no_result"), (9, "no_call")]
     assert sum(x.conv_id is None for x in got) == 2 and sum('"ra"' in x.message or '"rb"' in x.message for x in got) == 2
+
+
+def test_arguments_are_canonical_by_value(spark):
+    cases = {
+        '{"a":1e2}': '{"a":100}',
+        '{"a":100.0}': '{"a":100}',
+        '{"a":100}': '{"a":100}',
+        '{"a":[0.10, 1E-1,-0.0,2.5]}': '{"a":[0.1,0.1,0,2.5]}',
+        '{"b":"1e2 \\" 3.0 \\\\","a":1.5E+3}': '{"a":1500,"b":"1e2 \\" 3.0 \\\\"}',
+        '{"a":12345678901234567890}': '{"a":12345678901234567890}',
+        '{"a":0.0000000015}': '{"a":1.5E-9}',
+        '{"a":1.5e-9}': '{"a":1.5E-9}',
+        '{"a":1,"a":2}': None,
+        '{"a":{"b":1,"b":2}}': None,
+        "{'a':1}": None,
+        '{"a":1': None,
+        None: None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "raw string")
+    assert {r.raw: r.v for r in df.select("raw", F.to_json(chat.parsed(F.col("raw"))).alias("v")).collect()} == cases
+    why = {r.raw: r.w for r in df.select("raw", chat._no_object(F.col("raw")).alias("w")).collect()}
+    assert [k for k, w in why.items() if w == "duplicate_key" and cases[k] is None] == ['{"a":1,"a":2}', '{"a":{"b":1,"b":2}}']
+    calls = [(1, str(k), k, "lookup", f'{{"text":"{"t" * n}","limit":{x}}}', None) for k, (x, n) in enumerate([("1e2", 1), ("100.0", 1), ("100", 500_000), ("1.5", 1)])]
+    c = spark.createDataFrame(calls, "conv_id int, call_id string, position bigint, name string, arguments string, after string").withColumns({"level": F.lit("x"), "seq": F.lit("y")})
+    got = chat.link(c, spark.createDataFrame([], "conv_id int, call_id string, position bigint, content string")).orderBy("position").collect()
+    assert [list(r.errors) for r in got] == [[], [], [], ["type:limit"]] and got[0].message.replace('"0"', "") == got[1].message.replace('"1"', "") and len(got[2].message) > 500_000
+
+
+def test_numbers_within_hot_groups(spark):
+    from lattica.llm.shared import ranked
+
+    rows = [(0, k % 7, k) for k in range(500)] + [(g, 0, k) for g in range(1, 20) for k in range(g)]
+    df = spark.createDataFrame(rows, "g int, o int, part int").repartition(5)
+    got = ranked(df, ["g"], ["o", "part"], "nth")
+    want = {}
+    for g, o, k in sorted(rows):
+        want[g, o, k] = sum(r[0] == g and r <= (g, o, k) for r in rows)
+    assert got.columns == ["g", "o", "part", "nth"] and {tuple(r)[:3]: r.nth for r in got.collect()} == want
+    assert ranked(df.where("1 = 0"), ["g"], ["o"], "nth").isEmpty()
+
+
+@pytest.mark.parametrize("name", ["op3_decontaminate", "op4_quality_rules", "op8_warc_revisits", "op10_tool_calls"])
+def test_queries_as_in_sql(spark, name):
+    import duckdb
+
+    from lattica.llm import queries
+
+    folder, db = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "conversations"):
+        db.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, folder)
+    columns = ", ".join(got.columns)
+    want = db.execute(f"select {columns} from ({queries.ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
