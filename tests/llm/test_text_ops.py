@@ -459,6 +459,45 @@ def test_revisits(spark):
     merged = next(r.merged for r in got if r.record_id == 2)
     assert merged == {"etag": 'W/"a"', "content-type": "t", "date": "d2"}
     assert warc.resolve(rec.where("1 = 0")).isEmpty()
+    clashing = rec.withColumns({"url": F.lit("mine"), "outcome": F.lit("own")})
+    again = warc.resolve(clashing)
+    assert again.columns == [*clashing.columns, "_url", "_outcome", "source_id", "merged"]
+    assert {r.record_id: (r._outcome, r.source_id) for r in again.collect()} == by and {(r.url, r.outcome, r.slot) for r in again.collect()} == {("mine", "own", "extra")}
+
+
+def test_revisits_by_status_profile_and_last_modified(spark):
+    u = "http://a.com/p"
+    rows = [
+        (1, "response", 100, {"etag": '"a"'}, "x", 200, None),
+        (2, "response", 200, {"etag": '"gone"'}, "z", 404, None),
+        (3, "response", 250, {}, None, None, None),
+        (4, "revisit", 300, {"etag": '"a"'}, None, 304, None),
+        (5, "revisit", 400, {"last-modified": "m2", "etag": '"a"', "x": "own"}, "x", 200, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+        (6, "revisit", 500, {}, None, 200, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+        (7, "response", 600, {"last-modified": "m7"}, "y", 200, None),
+        (8, "revisit", 700, {"last-modified": "m7"}, None, 304, None),
+        (9, "revisit", 700, {"last-modified": "m8"}, None, 304, "http://netpreserve.org/warc/1.1/revisit/server-not-modified"),
+        (10, "revisit", 700, {"etag": '"q"'}, None, 304, None),
+        (11, "metadata", 700, {}, None, None, None),
+        (12, None, 700, {}, None, None, None),
+    ]
+    rec = spark.createDataFrame([(i, t, u, h, d, s, c, f) for i, t, s, h, d, c, f in rows], "record_id bigint, type string, uri string, headers map<string,string>, digest string, s bigint, status int, profile string").withColumn("captured", F.timestamp_seconds("s"))
+    got = {r.record_id: r for r in warc.resolve(rec).collect()}
+    assert {k: (r.outcome, r.source_id) for k, r in got.items()} == {4: ("resolved", 1), 5: ("resolved", 1), 6: ("changed", 1), 8: ("resolved", 7), 9: ("changed", 7), 10: ("resolved", 7)}
+    assert got[5].merged == {"last-modified": "m2", "etag": '"a"', "x": "own"} and got[10].merged == {"last-modified": "m7", "etag": '"q"'}
+
+
+def test_one_url_with_most_captures_by_brute_force(spark):
+    rng = np.random.default_rng(12)
+    rows = [(k, "response" if rng.random() < 0.2 else "revisit", "http://hot/" if rng.random() < 0.7 else f"http://h/{rng.integers(0, 5)}" + "x" * 20_000, int(rng.integers(0, 50))) for k in range(800)]
+    rec = spark.createDataFrame(rows, "record_id bigint, type string, uri string, s bigint").selectExpr("*", "timestamp_seconds(s) as captured", "cast(null as map<string,string>) as headers", "cast(null as string) as digest").repartition(7)
+    got = {r.record_id: r.source_id for r in warc.resolve(rec).collect()}
+    want = {}
+    for k, t, u, s in rows:
+        if t == "revisit":
+            earlier = [(s2, k2) for k2, t2, u2, s2 in rows if t2 == "response" and u2 == u and (s2, k2) < (s, k)]
+            want[k] = max(earlier)[1] if earlier else None
+    assert got == want
 
 
 def test_tool_calls(spark):
