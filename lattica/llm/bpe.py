@@ -9,8 +9,11 @@ pre-token that is a token itself is taken whole, as tiktoken does. Decoding maps
 The vocabulary (about 1 MB) is read on the driver from a path parameter and broadcast. Rows are handled where they
 are, so nothing is shuffled.
 
-Defined results: a null text encodes like an empty one, to no ids, and decodes to no bytes. Repeated rows are
-encoded each by itself. Extra columns pass through. Unknown ids cannot be decoded and raise.
+Defined results: a null text encodes like an empty one, to no ids, and decodes to no bytes; null ids decode to no bytes.
+Repeated rows are encoded each by itself; of merges of one rank the leftmost comes first. A very long text is encoded
+whole, in a batch of its own (its pre-tokens are cut as the pattern says, so a long run without a boundary is one). An
+empty table gives an empty result. Extra columns pass through; where one has the name of a new column, the new one takes an
+underscore in front (`free_name`). Unknown ids cannot be decoded and raise.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import ChunkCache
-from .shared import bounded_batches
+from .shared import bounded_batches, free_name
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 KEPT_CHUNKS = 300_000
@@ -139,7 +142,7 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str | No
     def ids(texts: pa.Array) -> pa.Array:
         return _listed(list(codec_of(shared).encode_batch(texts.to_pylist())))
 
-    return docs.select("*", ids.asNondeterministic()(F.col(text)).alias(out))
+    return docs.select("*", ids.asNondeterministic()(F.col(text)).alias(free_name(docs, out)))
 
 
 def decode(encoded: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
@@ -151,7 +154,7 @@ def decode(encoded: DataFrame, ids: str = "ids", out: str = "decoded", path: str
         codec = codec_of(shared)
         return pa.array([codec.decode(x or ()) for x in col.to_pylist()], pa.binary())
 
-    return encoded.select("*", back.asNondeterministic()(F.col(ids)).alias(out))
+    return encoded.select("*", back.asNondeterministic()(F.col(ids)).alias(free_name(encoded, out)))
 
 
 _DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
@@ -180,8 +183,9 @@ def digests(docs: DataFrame, text: str = "text", out: str = "digests", path: str
             cols.append(_listed(kept))
         return pa.StructArray.from_arrays(cols, names=[f.name for f in kind.fields])
 
+    out = free_name(docs, out)
     got = docs.select("*", both.asNondeterministic()(F.col(text)).alias(out))
-    return got.withColumn(ids, F.col(f"{out}.ids")) if ids else got
+    return got.withColumn(free_name(got, ids), F.col(f"{out}.ids")) if ids else got
 
 
 _named: list[str] = []

@@ -11,7 +11,9 @@ leaves are stored (packed lengths and counts); sums are made again on loading, w
 
 Edits are (pos, del, ins) in code points, applied in order, each to the text its predecessors left. Defined results: a
 null text is empty; null edits are none; a position or length beyond the text is cut to it; negative values count as
-0; a null insertion is empty. Repeated rows are counted each. Extra columns pass through. Rows stay where they are.
+0; a null insertion is empty; edits of one place apply in order. Repeated rows are counted each. A very long text is one
+tree, built and edited whole in a batch of its own. An empty table gives an empty result. Extra columns pass through;
+where one has the name of the new column, the new one takes an underscore in front (`free_name`). Rows stay where they are.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from .shared import table
+from .shared import free_name, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CONTEXT = 3
@@ -184,7 +186,7 @@ def trees(docs: DataFrame, text: str = "text", out: str = "tree", path: str | No
         own = [Tree.of(t or "", _counter(shared)) for t in texts.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([t.n_tokens for t in own], pa.int64()), pa.array([t.leaves() for t in own], pa.binary())], names=["n_tokens", "leaves"])
 
-    return docs.select("*", made.asNondeterministic()(F.col(text)).alias(out))
+    return docs.select("*", made.asNondeterministic()(F.col(text)).alias(free_name(docs, out)))
 
 
 def apply_edits(docs: DataFrame, edits: str = "edits", text: str = "text", tree: str = "tree", out: str = "edited", path: str | None = None) -> DataFrame:
@@ -202,7 +204,7 @@ def apply_edits(docs: DataFrame, edits: str = "edits", text: str = "text", tree:
         cols = list(zip(*rows, strict=True)) if rows else [()] * 4
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.binary(), pa.int64()), strict=True)], names=kind.fieldNames())
 
-    return docs.select("*", edited.asNondeterministic()(F.col(text), F.col(f"{tree}.leaves"), F.col(edits).cast(EDITS)).alias(out))
+    return docs.select("*", edited.asNondeterministic()(F.col(text), F.col(f"{tree}.leaves"), F.col(edits).cast(EDITS)).alias(free_name(docs, out)))
 
 
 def counts(docs: DataFrame, edits: str = "edits", text: str = "text", out: str = "counts", path: str | None = None) -> DataFrame:
@@ -221,7 +223,7 @@ def counts(docs: DataFrame, edits: str = "edits", text: str = "text", out: str =
         cols = list(zip(*rows, strict=True)) if rows else [()] * 4
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
-    return docs.select("*", counted.asNondeterministic()(F.col(text), F.col(edits).cast(EDITS)).alias(out))
+    return docs.select("*", counted.asNondeterministic()(F.col(text), F.col(edits).cast(EDITS)).alias(free_name(docs, out)))
 
 
 def planned_edits(doc_id: str = "doc_id", text: str = "text"):

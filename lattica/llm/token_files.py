@@ -11,7 +11,9 @@ task attempt; only those of the attempt whose result Spark accepts are in the ma
 speculative copy leaves at worst an unlisted file. The driver holds one row per shard.
 
 Defined results: null and empty texts give the end id alone. A null doc_id sorts first and is read back as null.
-Repeated rows are written each. An empty table gives a manifest without shards. Other columns are not written.
+Repeated rows are written each, in any order among themselves; documents of one id go by a hash of their text. A very
+long text is encoded whole. An empty table gives a manifest without shards. Other columns are not read, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ from .chunks import ChunkCache
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
+BATCH_IDS = 1 << 20
 
 
 class Encoder:
@@ -150,12 +153,22 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
     return manifest
 
 
-def mapped(place: pafs.FileSystem, path: str, dtype: str) -> np.ndarray:
-    """The file as an array: mapped where the file system is local, else read."""
+class _Remote:
+    """An array in a file that can't be mapped: slices are read when they are asked for."""
+
+    def __init__(self, place: pafs.FileSystem, path: str, dtype: str):
+        self.file, self.dtype = place.open_input_file(path), np.dtype(dtype)
+
+    def __getitem__(self, own: slice) -> np.ndarray:
+        n = (own.stop - own.start) * self.dtype.itemsize
+        return np.frombuffer(self.file.read_at(n, own.start * self.dtype.itemsize) if n else b"", self.dtype)
+
+
+def mapped(place: pafs.FileSystem, path: str, dtype: str) -> np.ndarray | _Remote:
+    """The file as an array: mapped where the file system is local, else read by slices."""
     if place.type_name == "local":
         return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.empty(0, dtype)
-    with place.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+    return _Remote(place, path, dtype)
 
 
 def read(spark: SparkSession, folder: str, ids: bool = True, crc: bool = False) -> DataFrame:
@@ -171,9 +184,13 @@ def read(spark: SparkSession, folder: str, ids: bool = True, crc: bool = False)
         for batch in batches:
             for s in batch.to_pylist():
                 flat, idx, doc = (mapped(place, f"{at}/{s['name']}.{kind}", t) for kind, t in (("ids", dtype), ("idx", "<u8"), ("doc", "<i8")))
-                for lo in range(0, s["n_docs"], 1000):
-                    hi = min(lo + 1000, s["n_docs"])
-                    own = idx[lo : hi + 1].astype(np.int64)
+                hi = 0
+                while hi < s["n_docs"]:
+                    lo = hi
+                    own = idx[lo : min(lo + 1000, s["n_docs"]) + 1].astype(np.int64)
+                    # a batch holds so many ids at most, or one document
+                    own = own[: max(2, int(np.searchsorted(own, own[0] + BATCH_IDS, "right")))]
+                    hi = lo + len(own) - 1
                     cols = [pa.array(doc[lo:hi], pa.int64(), mask=np.arange(lo, hi) < s["n_null"]), pa.array(own[:-1] + s["base"]), pa.array(np.diff(own))]
                     if ids:
                         cols.append(pa.LargeListArray.from_arrays(pa.array(own - own[0]), pa.array(flat[own[0] : own[-1]].astype(np.int64))).cast(pa.list_(pa.int64())))

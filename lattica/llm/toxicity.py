@@ -13,7 +13,11 @@ by their place), as words and counts made on the executors.
 
 Defined results: null, empty and wordless texts get the score of the bias alone. Labels that are null are not used;
 repeated labels of a row count each. With no labelled rows, one class only, or no words in one class of the texts that
-train, every score is the share of toxic labels (0 without labels). Extra columns pass through. Labels, language, source and ids never enter a score.
+train, every score is the share of toxic labels (0 without labels). Where few texts train, most subwords hardly move, and
+texts without telling ones score alike. A score of just 0.5 is toxic. Repeated rows score alike; a very long text is
+averaged whole, in a batch of its own. An empty table gives an empty result. Extra columns pass through; where one has
+the name of the new column, the new one takes an underscore in front (`free_name`). Labels, language, source and ids
+never enter a score.
 """
 
 from __future__ import annotations
@@ -136,55 +140,84 @@ def _paces(times: np.ndarray, spread: np.ndarray) -> np.ndarray:
     return pace / max(pace.max(), 1e-300)
 
 
+class _Texts:
+    """Texts as shares of words and words as means of subwords: the linear map from a number for each subword to one for each text, and back."""
+
+    def __init__(self, rows):
+        self.vocabulary, self.word, self.share, self.row = _sparse(rows)
+        self.n = len(rows)
+
+    def deal(self) -> None:
+        """Numbers the subwords that occur; `used` are their buckets."""
+        buckets, self.n_sub = _spread(self.vocabulary)
+        self.used = np.flatnonzero(np.bincount(buckets, minlength=1 << BITS))
+        place = np.zeros(1 << BITS, np.int64)
+        place[self.used] = np.arange(len(self.used))
+        self.bucket = place[buckets]
+        self.first, self.scale = np.concatenate(([0], np.cumsum(self.n_sub)[:-1])), 1 / self.n_sub
+
+    def onto(self, of_word: np.ndarray) -> np.ndarray:
+        """For each subword the sum of a number over the words that hold it."""
+        return np.bincount(self.bucket, np.repeat(of_word, self.n_sub), len(self.used))
+
+    def forward(self, weight: np.ndarray) -> np.ndarray:
+        words = np.add.reduceat(weight[self.bucket], self.first) * self.scale
+        return np.bincount(self.row, words[self.word] * self.share, self.n)
+
+    def back(self, of_text: np.ndarray) -> np.ndarray:
+        return self.onto(np.bincount(self.word, of_text[self.row] * self.share, len(self.vocabulary)) * self.scale)
+
+
+def _probability(texts: _Texts, params: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """The softmax layer's share of the toxic class; of two classes only the difference matters."""
+    table_, layer, bias = params
+    z = texts.forward(table_ @ (layer[:, 1] - layer[:, 0])) + bias[1] - bias[0]
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
+def _gradients(texts: _Texts, params: tuple[np.ndarray, np.ndarray, np.ndarray], error: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the summed log-loss by embeddings, layer and bias; error: probability less label of each text that counts, else 0."""
+    table_, layer, _ = params
+    each = texts.back(error)
+    return each[:, None] * (layer[:, 1] - layer[:, 0]), np.outer(each @ table_, (-1, 1)), error.sum() * np.array([-1, 1])
+
+
 def fit(rows, dim: int = 2, rounds: int = 300, rate: float = 1.0, patience: int = 40, seed: int = 7) -> Model:
     """rows, read more than once: distinct words, their counts and the label of each text.
 
-    All subwords are trained. Every fifth text is held back to stop training; steps are scaled by the largest gradient of a parameter group, so
-    that subwords gain by their pace and how much and how steadily they tell the classes apart.
+    All subwords are trained. Every fifth text is held back to stop training; steps are scaled by the largest gradient of
+    a parameter group, so that subwords gain by their pace and how much and how steadily they tell the classes apart.
     """
     y = np.array([r[2] for r in rows], np.float64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << BITS, np.float32), float(np.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9))) if len(y) else -50.0)
-    vocabulary, word, share, row = _sparse(rows)
+    texts = _Texts(rows)
     prior = Model(np.zeros(1 << BITS, np.float32), float(np.log(y.mean() / (1 - y.mean()))))
     held = np.arange(len(rows)) % 5 == 0
-    seen = [np.bincount(word[~held[row] & (y[row] == c)], minlength=len(vocabulary)) for c in (0, 1)]
+    seen = [np.bincount(texts.word[~held[texts.row] & (y[texts.row] == c)], minlength=len(texts.vocabulary)) for c in (0, 1)]
     if not (seen[0].any() and seen[1].any()):  # the texts that train have words in one class only
         return prior
-    buckets, n_sub = _spread(vocabulary)
-    used = np.flatnonzero(np.bincount(buckets, minlength=1 << BITS))
-    place = np.zeros(1 << BITS, np.int64)
-    place[used] = np.arange(len(used))
-    bucket = place[buckets]
-    del buckets
-    first, scale = np.concatenate(([0], np.cumsum(n_sub)[:-1])), 1 / n_sub
-    onto = lambda of_word: np.bincount(bucket, np.repeat(of_word, n_sub), len(used))
-    pace = _paces(np.stack([onto(c) for c in seen]), onto(np.bincount(word, np.square(share, dtype=np.float64), len(vocabulary)) * scale**2))[:, None]
+    texts.deal()
+    spread = texts.onto(np.bincount(texts.word, np.square(texts.share, dtype=np.float64), len(texts.vocabulary)) * texts.scale**2)
+    pace = _paces(np.stack([texts.onto(c) for c in seen]), spread)[:, None]
     rng = np.random.default_rng(seed)
-    table_ = (rng.random((len(used), dim)) - 0.5) / dim * np.sqrt(pace)
-    layer, bias = rng.normal(0, 1, (dim, 2)), np.log(np.array([1 - y.mean(), y.mean()]))
-    speed = [np.zeros_like(p) for p in (table_, layer, bias)]
-    best, best_at, kept = np.inf, 0, None
+    params = (rng.random((len(texts.used), dim)) - 0.5) / dim * np.sqrt(pace), rng.normal(0, 1, (dim, 2)), np.log(np.array([1 - y.mean(), y.mean()]))
+    speed = [np.zeros_like(p) for p in params]
+    best, best_at, kept = np.inf, 0, params
     for t in range(rounds):
-        # of two classes only the difference matters: one number for each subword, word and text
-        toward = layer[:, 1] - layer[:, 0]
-        words = np.add.reduceat((table_ @ toward)[bucket], first) * scale
-        z = np.bincount(row, words[word] * share, len(rows)) + bias[1] - bias[0]
-        p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        p = _probability(texts, params)
         loss = -np.log(np.where(y == 1, p, 1 - p)[held] + 1e-9).mean()
         if loss < best:
-            best, best_at, kept = loss, t, (table_.copy(), layer.copy(), bias.copy())
+            best, best_at, kept = loss, t, tuple(p.copy() for p in params)
         elif t - best_at > patience:
             break
-        error = np.where(held, 0, p - y)
-        each = onto(np.bincount(word, error[row] * share, len(vocabulary)) * scale)
-        grads = each[:, None] * toward * pace, np.outer(each @ table_, (-1, 1)), error.sum() * np.array([-1, 1])
-        for k, (param, grad) in enumerate(zip((table_, layer, bias), grads, strict=True)):
+        grads = _gradients(texts, params, np.where(held, 0, p - y))
+        for k, (param, grad) in enumerate(zip(params, (grads[0] * pace, *grads[1:]), strict=True)):
             speed[k] = 0.8 * speed[k] + 0.2 * grad / (np.abs(grad).max() + 1e-12)
             param -= rate * (1, 0.1, 0.02)[k] * speed[k]
     table_, layer, bias = kept
     weight = np.zeros(1 << BITS, np.float32)
-    weight[used] = table_ @ (layer[:, 1] - layer[:, 0])
+    weight[texts.used] = table_ @ (layer[:, 1] - layer[:, 0])
     return Model(weight, float(bias[1] - bias[0]))
 
 
@@ -240,7 +273,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
         parts = [own.score(data, offsets[lo : hi + 1]) for lo, hi in tk.groups(offsets)]
         return pa.array(np.concatenate(parts) if parts else np.empty(0), pa.float64())
 
-    return docs.select("*", scores.asNondeterministic()(F.col(text)).alias(out))
+    return docs.select("*", scores.asNondeterministic()(F.col(text)).alias(free_name(docs, out)))
 
 
 def held_out(doc_id: str = "doc_id"):

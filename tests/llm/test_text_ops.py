@@ -1,6 +1,7 @@
 """Edge cases of every operator: nulls, empty and long texts, repeated rows, empty tables, extra columns."""
 
 import hashlib
+import json
 import re
 import zlib
 from collections import Counter
@@ -264,7 +265,7 @@ def test_bpe_on_every_kind_of_character():
     assert [x.tolist() for x in codec.encode_batch(texts)] == [want.encode_ordinary(t) for t in texts]
 
 
-def test_token_files_round_trip(spark, docs, none, tmp_path):
+def test_token_files_round_trip(spark, docs, none, tmp_path, monkeypatch):
     tok = Tokenizer.from_file(public_tokenizers.path(token_files.VOCABULARY))
     tok.encode_special_tokens = True
     special = docs.limit(1).withColumns({"doc_id": F.lit(50).cast("bigint"), "text": F.lit("a <|endoftext|> b")})
@@ -280,6 +281,16 @@ def test_token_files_round_trip(spark, docs, none, tmp_path):
         assert (r.start, r.n_tokens, list(r.ids)) == (start, len(ids), ids)
         assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
         start += len(ids)
+    # by slices, as from a store that can't be mapped, in batches of few ids
+    monkeypatch.setattr(token_files, "BATCH_IDS", 50)
+    with open(f"{tmp_path}/out/manifest.json") as f:
+        shard = json.load(f)["shards"][0]
+    place, at = token_files._place(f"{folder}/{shard['name']}.ids")
+    remote, local = token_files._Remote(place, at, "<u2"), token_files.mapped(place, at, "<u2")
+    n = shard["n_ids"]
+    assert remote[0:n].tolist() == local[0:n].tolist() and remote[1:3].tolist() == local[1:3].tolist() and remote[2:2].tolist() == []
+    again = sorted(token_files.read(spark, folder, crc=True).collect(), key=lambda r: r.start)
+    assert again == got
     token_files.write(none, f"file://{tmp_path}/none")
     assert token_files.read(spark, f"file://{tmp_path}/none").isEmpty()
 
@@ -585,3 +596,107 @@ def test_queries_as_in_sql(spark, name):
     columns = ", ".join(got.columns)
     want = db.execute(f"select {columns} from ({queries.ORACLE_SQL[name]})").fetchall()
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def _model():
+    return toxicity.Model(np.linspace(-1, 1, 1 << toxicity.BITS).astype(np.float32), 0.1)
+
+
+APPENDING = {
+    "urls": (lambda d, _: urls.judge(d, urls.Model(), url="text"), ["host", "path", "rule", "score", "verdict"]),
+    "contamination": (lambda d, b: decontaminate.scan(d, b), ["contamination"]),
+    "quality": (lambda d, _: quality.ledger(quality.measure(d), names=quality.measured_names(d)), [*quality.MEASURES, "failures"]),
+    "bpe ids": (lambda d, _: bpe.encode(d), ["ids"]),
+    "bpe digests": (lambda d, _: bpe.digests(d, ids="ids"), ["digests", "ids"]),
+    "toxicity": (lambda d, _: toxicity.score(d, _model()), ["score"]),
+    "trees": (lambda d, _: token_counts.trees(d), ["tree"]),
+    "counts": (lambda d, _: token_counts.counts(d.withColumn("edits", F.lit(None).cast(token_counts.EDITS))).drop("edits"), ["counts"]),
+}
+FILTERING = {
+    "toxicity": lambda d, _: toxicity.reject_toxic(d, d.select("doc_id", F.lit(0).alias("toxic"))),
+    "quality": lambda d, _: quality.apply_policy(d, "base-1"),
+    "near-duplicates": lambda d, _: minhash.distinct_documents(d),
+}
+
+
+@pytest.mark.parametrize("name", [*APPENDING, *(f"filter {k}" for k in FILTERING)])
+def test_columns_of_the_input_survive(spark, name):
+    """Nulls, empty and very long texts, repeated rows, an empty table, and columns with the names of all new and inner ones."""
+    taken = sorted({c for _, new in APPENDING.values() for c in new} | {"x_length", "x_tail1", "rule_verdict", "measured", "id", "n", "row", "key", "rep", "toxicity", "contamination_before", "__n", "__id"})
+    rows = [(k, t) for k, t in enumerate(TEXTS)] + [(6, TEXTS[6])]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2).withColumns({c: F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")) for c in taken})
+    bench = spark.createDataFrame([(1, "lazy dog")], "item_id int, text string")
+    if name.startswith("filter "):
+        run, new = FILTERING[name.removeprefix("filter ")], []
+    else:
+        run, new = APPENDING[name]
+    got = run(d, bench)
+    assert got.columns == [*d.columns, *(f"_{c}" for c in new)]
+    found = got.select(*d.columns).collect()
+    assert {tuple(r) for r in found} <= {tuple(r) for r in d.collect()} and (not new or len(found) == len(rows))
+    assert all(r[c] == f"{c}:{r.doc_id}" for r in found for c in taken)
+    empty = run(d.where("1 = 0"), bench)
+    assert empty.columns == got.columns and empty.isEmpty()
+
+
+def test_subword_gradients_by_brute_force():
+    rng = np.random.default_rng(2)
+    words = [b"alpha", b"alphas", b"beta", b"x", b"gamma" * 3]
+    rows = [(list(rng.choice(words, n, replace=False)), rng.integers(1, 4, n), int(k % 2)) for k, n in enumerate([3, 2, 5, 1, 4])] + [([], np.empty(0, int), 1)]
+    texts = toxicity._Texts(rows)
+    texts.deal()
+    dense = np.zeros((len(rows), len(texts.used)))
+    for k, (ws, counts, _) in enumerate(rows):
+        for w, c in zip(ws, counts, strict=True):
+            buckets, _ = toxicity.subwords([w])
+            for b in buckets:
+                dense[k, np.searchsorted(texts.used, b)] += c / counts.sum() / len(buckets)
+    weight, error = rng.normal(size=len(texts.used)), rng.normal(size=len(rows))
+    assert np.allclose(texts.forward(weight), dense @ weight, atol=1e-6) and np.allclose(texts.back(error), dense.T @ error, atol=1e-6)
+    y = np.array([r[2] for r in rows], float)
+    params = [rng.normal(size=(len(texts.used), 2)), rng.normal(size=(2, 2)), rng.normal(size=2)]
+
+    def loss():
+        z = dense @ params[0] @ params[1] + params[2]
+        return -(z - np.log(np.exp(z).sum(1, keepdims=True)))[np.arange(len(y)), y.astype(int)].sum()
+
+    grads = toxicity._gradients(texts, params, toxicity._probability(texts, params) - y)
+    for param, grad in zip(params, grads, strict=True):
+        for at in [tuple(int(rng.integers(n)) for n in param.shape) for _ in range(8)]:
+            was = param[at]
+            param[at] = was + 1e-5
+            up = loss()
+            param[at] = was - 1e-5
+            down = loss()
+            param[at] = was
+            assert abs((up - down) / 2e-5 - grad[at]) < 1e-4
+
+
+def test_model_scores_as_its_embeddings_do():
+    model = _model()
+    texts = ["some words, some WORDS again", "", None, "é" * 40 + " x"]
+    raw = [(t or "").encode() for t in texts]
+    got = model.score(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for t, p in zip(texts, got, strict=True):
+        found = [w for w, n in toxicity.bag(t).items() for _ in range(n)]
+        logit = model.bias + (np.mean([model.weight[toxicity.subwords([w])[0]].astype(float).mean() for w in found]) if found else 0)
+        assert abs(p - 1 / (1 + np.exp(-logit))) < 1e-9
+
+
+def test_toxicity_on_few_rows_and_unseen_misspellings(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    for sf in ("sf0.001", "sf0.01"):
+        got = toxicity.op6_toxicity(spark, f"/root/testdata/{sf}").select("score", "predicted").collect()
+        assert len({r.score for r in got}) > 5 and {r.predicted for r in got} == {0, 1}
+    model = toxicity.learned(docs, labels)
+    listed = docs.join(labels.where("toxic = 1"), "doc_id").select("text").collect()
+    known = {w for r in listed for w in toxicity.bag(r.text)}
+    weight = {w: float(model.weight[toxicity.subwords([w])[0]].mean()) for w in known if w.isascii() and len(w) > 5}
+    worst = sorted(weight, key=weight.get)[-5:]
+    plain = " ".join(PROSE)
+    for w in worst:
+        near = w[:-1] + w[-1:] * 2
+        assert near not in known
+        data = [f"{near.decode()} {plain}".encode(), plain.encode()]
+        p = model.score(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+        assert p[0] > p[1]
