@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 
 from lattica.functions import grid, vectors
 from lattica.operators import degrees, forest, pairs
+from lattica.sources.ranges import ranked
 from lattica.sources.stored import written
 
+#: Clusters of all configurations that one task may number for each configuration.
+LOCAL_CLUSTERS = 4_000_000
+
 
 @dataclass
 class Grid:
@@ -37,11 +41,24 @@ class Grid:
         return F.col("eps_idx") * len(self.min_pts) + F.col("mp_idx")
 
     def _beside(self) -> DataFrame:
-        """(mp_idx, eps_idx, id, root) of points that are not core and their core neighbours' roots."""
+        """(mp_idx, eps_idx, id, root) of points that are not core and their core neighbours' roots.
+
+        Only pairs are followed where one end is core while the other isn't yet: from the pair's radius and the core's
+        own (`w`) up to the radius before the point becomes core itself. They are reduced to one row for each point and
+        root at `w` before radii are told apart, as a neighbour's root at a later radius is that of its root at `w`.
+        """
+        first = self.deg.select("id", F.array(*(F.expr(f"size(filter(deg, x -> x < {p}))") for p in self.min_pts)).alias("own"))
         both = self.table.select(F.col("i").alias("id"), F.col("j").alias("other"), "code").union(self.table.select("j", "i", "code"))
-        own = self.core.select("mp_idx", "id", F.col("c").alias("own_c"))
-        near = both.join(self.roots.withColumnRenamed("id", "other"), "other").where("code <= eps_idx")
-        return near.join(own, ["mp_idx", "id"], "left").where("own_c is null or own_c > eps_idx")
+        late = both.join(first, "id").where(F.col("code") < F.array_max("own"))
+        late = late.join(first.select(F.col("id").alias("other"), F.col("own").alias("theirs")), "other")
+        spans = F.transform(F.sequence(F.lit(0), F.lit(len(self.min_pts) - 1)), lambda m: F.struct(m.alias("mp_idx"), F.get("own", m).alias("until"), F.greatest("code", F.get("theirs", m)).alias("w")))
+        near = late.select("id", "other", F.explode(F.filter(spans, lambda s: s["w"] < s["until"])).alias("s")).select("id", "other", "s.*")
+        at = self.roots.select("mp_idx", F.col("eps_idx").alias("w"), F.col("id").alias("other"), "root")
+        near = near.join(at, ["mp_idx", "w", "other"]).select("mp_idx", "id", "w", "until", "root").distinct()
+        if len(self.eps) == 1:
+            return near.select("mp_idx", F.col("w").alias("eps_idx"), "id", "root")
+        each = near.select("mp_idx", F.explode(F.sequence("w", F.col("until") - 1)).alias("eps_idx"), "id", F.col("root").alias("r"))
+        return each.join(self.roots.select("mp_idx", "eps_idx", F.col("id").alias("r"), "root"), ["mp_idx", "eps_idx", "r"]).select("mp_idx", "eps_idx", "id", "root")
 
     def adjacent(self) -> DataFrame:
         """(config, id, roots): for points that are not core, the roots of their core neighbours, ascending."""
@@ -55,20 +72,26 @@ class Grid:
 
     def labels(self) -> DataFrame:
         """(config, id, label, is_core) of every point in every configuration."""
-        members = self.members()
+        members = written(self.members(), "members")
         first = members.groupBy("config", "root").agg(F.min("id").alias("first"))
-        named = first.select("config", "root", (F.dense_rank().over(Window.partitionBy("config").orderBy("first")) - 1).alias("label"))
+        if self.roots.where("id = root").count() > LOCAL_CLUSTERS:
+            named = ranked(first, ["config"], ["first"], "nth").select("config", "root", (F.col("nth") - 1).cast("int").alias("label"))
+        else:
+            named = first.select("config", "root", (F.dense_rank().over(Window.partitionBy("config").orderBy("first")) - 1).alias("label"))
         known = members.join(named, ["config", "root"]).select("config", "id", "label", "is_core")
         configs = self.points.sparkSession.range(len(self.eps) * len(self.min_pts)).select(F.col("id").cast("int").alias("config"))
         every = self.points.select("id").crossJoin(F.broadcast(configs))  # at most a few hundred configurations
         return every.join(known, ["config", "id"], "left").select("config", "id", F.coalesce("label", F.lit(-1)).alias("label"), F.coalesce("is_core", F.lit(False)).alias("is_core"))
 
 
-def fit(points: DataFrame, eps: list[float], min_pts: list[int], route: str = "auto", local_links: int = forest.LOCAL_LINKS) -> Grid:
-    """points: (id BIGINT, v ARRAY<DOUBLE>), checked; eps and min_pts are sorted and made distinct."""
+def fit(points: DataFrame, eps: list[float], min_pts: list[int], route: str = "auto", local_links: int = forest.LOCAL_LINKS, max_pairs: int = pairs.MAX_PAIRS) -> Grid:
+    """points: (id BIGINT, v ARRAY<DOUBLE>), checked; eps and min_pts are sorted and made distinct.
+
+    A radius whose pairs are estimated above max_pairs raises `pairs.TooManyPairs` before any pair is made.
+    """
     eps, min_pts = grid.radii(eps), grid.densities(min_pts)
     points = points.select(F.col("id").cast("bigint").alias("id"), F.col("v").cast("array<double>").alias("v"))
-    table = written(pairs.pairs(points, eps, route, vectors.check(points)), "pairs")
+    table = written(pairs.pairs(points, eps, route, vectors.check(points), max_pairs), "pairs")
     deg = written(degrees.degrees(points, table, len(eps)), "degrees")
     core = written(degrees.core_radius(deg, min_pts), "core")
     links = forest.core_links(table, core)

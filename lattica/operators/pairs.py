@@ -5,10 +5,14 @@ the pair of a point with itself is implied, so degrees start at 1.
 
 Routes, which give the same rows:
 - broadcast: blocks of points against the whole matrix, for at most BROADCAST_BYTES of it (checked).
-- blocks: points dealt to G blocks, a task for each pair of blocks, so no task holds more than two blocks.
+- blocks: points dealt to blocks along their widest coordinate, a task for each pair of blocks that the radius can
+  bridge there, so no task holds more than two blocks and far blocks never meet.
 - grid: cells of the largest radius over the first coordinates; only neighbouring cells meet, in an equi-join that
   adaptive execution can split where cells are crowded. Exact at any width, worthwhile where few coordinates separate.
 - expressions: a nested loop of column expressions; the independent check of the others.
+
+All pairs within a radius may be far more than can be stored. Where that is possible at all, their number is estimated
+first, from the neighbours of a few hundred points, and a search over its budget is refused (`TooManyPairs`).
 """
 
 from __future__ import annotations
@@ -18,13 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions import vectors
+from lattica.sources.stored import written
 
 BROADCAST_BYTES = 64 << 20
-BLOCK_ROWS = 4096
+BLOCK_ROWS, BLOCK_BYTES = 4096, 64 << 20
+#: Pairs that a search may store (some 28 bytes each), and the points whose neighbours estimate them.
+MAX_PAIRS = 20_000_000_000
+ASKED = 512
+#: Coordinates among which the widest is looked for.
+AXES = 64
 TILE = 512
 SCHEMA = "i bigint, j bigint, d2 double, code int"
 
@@ -74,10 +84,38 @@ def by_broadcast(points: DataFrame, eps: list[float]) -> DataFrame:
     return points.select("id", "v").repartition(parts).mapInArrow(search, SCHEMA)
 
 
-def by_blocks(points: DataFrame, eps: list[float], n: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def widest(points: DataFrame, d: int) -> int:
+    """The coordinate of the largest variance among the first AXES."""
+    k = min(d, AXES)
+    spread = points.agg(*(F.var_pop(F.col("v")[c]).alias(f"s{c}") for c in range(k))).first()
+    return max(range(k), key=lambda c: (spread[c] or 0.0, -c))
+
+
+def blocks(points: DataFrame, reach: float, n: int, d: int, block_rows: int) -> DataFrame:
+    """(id, v, b, first, last): a point's block and the blocks it has to meet, which follow one another.
+
+    Blocks are ranges of the widest coordinate of about block_rows points; a range with more of them, as with ties, is
+    split by a hash. Blocks whose ranges lie further apart than the radius hold no pair.
+    """
+    t = F.col("v")[widest(points, d)]
     g = max(1, math.ceil(n / block_rows))
-    own = F.pmod(F.xxhash64("id"), F.lit(g)).cast("int")
-    dealt = points.select("id", "v", own.alias("b")).select("id", "v", "b", F.explode(F.sequence(F.lit(0), F.lit(g - 1))).alias("o"))
+    rows = written(points.select("id", "v", t.alias("t")).repartitionByRange(g, "t").withColumn("r", F.spark_partition_id()), "blocks")
+    found = sorted(tuple(x) for x in rows.groupBy("r").agg(F.min("t"), F.max("t"), F.count("*")).collect())  # n / block_rows rows
+    r, lo, hi, size = (np.array(c) for c in zip(*found, strict=True)) if found else ([], np.empty(0), np.empty(0), np.empty(0, int))
+    splits = -(-size // block_rows)
+    base = np.concatenate(([0], np.cumsum(splits))).astype(int)
+    room = reach * (1 + 1e-9) + 1e-12 * max([1.0, *np.abs(lo), *np.abs(hi)])
+    first = base[np.searchsorted(hi, lo - room, "left")] if found else []
+    last = base[np.searchsorted(lo, hi + room, "right")] - 1 if found else []
+    told = [tuple(int(x) for x in y) for y in zip(r, base, splits, first, last, strict=False)]
+    about = points.sparkSession.createDataFrame(told, "r int, base int, splits int, first int, last int")
+    own = (F.col("base") + F.pmod(F.xxhash64("id"), F.col("splits"))).cast("int")
+    return rows.join(F.broadcast(about), "r").select("id", "v", own.alias("b"), "first", "last")
+
+
+def by_blocks(points: DataFrame, eps: list[float], n: int, d: int, block_rows: int | None = None) -> DataFrame:
+    rows = blocks(points, eps[-1], n, d, block_rows or max(64, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(d, 1)))))
+    dealt = rows.select("id", "v", "b", F.explode(F.sequence("first", "last")).alias("o"))
     dealt = dealt.select(F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "b", "id", "v")
 
     def search(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -96,6 +134,48 @@ def by_blocks(points: DataFrame, eps: list[float], n: int, block_rows: int = BLO
     return dealt.groupBy("p", "q").applyInArrow(search, SCHEMA)
 
 
+class TooManyPairs(ValueError):
+    """A search was refused, as it would store more pairs than its budget."""
+
+
+def estimate(points: DataFrame, radius: float, n: int, asked: int = ASKED) -> float:
+    """About how many pairs i < j lie within the radius: the neighbours of about `asked` points, picked by a hash, for all."""
+    share = min(1.0, asked / max(n, 1))
+    some = points if share == 1.0 else points.where(F.pmod(F.xxhash64("id", F.lit("asked")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    ids, x = _matrix(some.select("id", "v").toArrow())
+    if not len(x):
+        return 0.0
+    shared = points.sparkSession.sparkContext.broadcast(x)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, total = shared.value, 0
+        for batch in batches:
+            _, a = _matrix(batch)
+            for lo in range(0, len(a), TILE):
+                part = a[lo : lo + TILE]
+                total += int(((part * part).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (part @ y.T) <= radius * radius).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["c"])
+
+    near_them = points.select("id", "v").mapInArrow(count, "c bigint").agg(F.sum("c")).first()[0] or 0
+    return max(0.0, near_them / len(x) - 1) * n / 2
+
+
+def affordable(points: DataFrame, radius: float, n: int, max_pairs: int) -> None:
+    """Raises if the pairs are estimated above the budget; asks only where there are points enough for that."""
+    if n * (n - 1) // 2 > max_pairs and (found := estimate(points, radius, n)) > max_pairs:
+        raise TooManyPairs(f"about {found:.3g} pairs of {n} points lie within {radius}, over the budget of {max_pairs}; take a smaller radius or raise max_pairs")
+
+
+#: How much a tiled search gains over following links, and a search's fixed cost in operations (fixed values).
+TILING, FIXED_COST = 40, 60_000_000_000
+
+
+def one_search_pays(nnz: Column, searched: Column, n_eps: Column, d: Column, tiling: int = TILING, fixed: int = FIXED_COST) -> Column:
+    """Whether telling radii apart on the links of one search costs less than a search for each further radius."""
+    wide = lambda c: c.cast("double")
+    return wide(nnz) * d * tiling < (wide(n_eps) - 1) * (wide(searched) * d + float(fixed))
+
+
 def by_grid(points: DataFrame, eps: list[float], d: int, axes: int = 3) -> DataFrame:
     axes, side = min(axes, d), eps[-1]
     cell = [F.floor(F.col("v")[k] / side).cast("bigint") for k in range(axes)]
@@ -125,16 +205,17 @@ def plan(n: int, d: int) -> str:
     return "broadcast" if n * max(d, 1) * 8 <= BROADCAST_BYTES else "blocks"
 
 
-def pairs(points: DataFrame, eps: list[float], route: str = "auto", size: tuple[int, int] | None = None) -> DataFrame:
+def pairs(points: DataFrame, eps: list[float], route: str = "auto", size: tuple[int, int] | None = None, max_pairs: int = MAX_PAIRS) -> DataFrame:
     """(i, j, d2, code) of all pairs within the largest of eps, which must be ascending."""
     n, d = size or vectors.check(points)
+    affordable(points, eps[-1], n, max_pairs)
     route = plan(n, d) if route == "auto" else route
     if route == "broadcast":
         if n * max(d, 1) * 8 > BROADCAST_BYTES:
             raise ValueError("the matrix is too large to broadcast; use blocks or grid")
         return by_broadcast(points, eps)
     if route == "blocks":
-        return by_blocks(points, eps, n)
+        return by_blocks(points, eps, n, d)
     return by_grid(points, eps, d) if route == "grid" else by_expressions(points, eps)
 
 
@@ -146,8 +227,8 @@ def within(table: DataFrame, radius: int) -> DataFrame:
 def knn(points: DataFrame, k: int, size: tuple[int, int] | None = None) -> DataFrame:
     """(id, rank, neighbour, dist): the k nearest of each point, itself included, ties by id; k is cut to n.
 
-    Blocks of points meet blocks of the others and keep k each; the best k of these are kept per point by a bounded
-    aggregate, so what a point gathers is k rows for each block.
+    Blocks of points meet blocks of the others and keep k each; the best k of these are kept per point, MERGED blocks at
+    a time, so what a point gathers is at most k rows for each of so many.
     """
     n, d = size or vectors.check(points)
     k = min(k, n)
@@ -185,6 +266,9 @@ def nearest(ids: np.ndarray, x: np.ndarray, jds: np.ndarray, y: np.ndarray, k: i
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["id", "rank", "neighbour", "dist"])
 
 
+MERGED = 64
+
+
 def _knn_blocks(points: DataFrame, k: int, n: int) -> DataFrame:
     g = max(1, math.ceil(n / BLOCK_ROWS))
     block = F.pmod(F.xxhash64("id"), F.lit(g)).cast("int")
@@ -197,10 +281,15 @@ def _knn_blocks(points: DataFrame, k: int, n: int) -> DataFrame:
         ids, x = _matrix(table)
         asks = np.asarray(table["asks"])
         if not asks.any() or asks.all():
-            return pa.Table.from_batches([], pa.schema([("id", pa.int64()), ("rank", pa.int32()), ("neighbour", pa.int64()), ("dist", pa.float64())]))
-        return pa.Table.from_batches([nearest(ids[asks], x[asks], ids[~asks], x[~asks], k)])
+            return pa.Table.from_batches([], pa.schema([("q", pa.int32()), ("id", pa.int64()), ("rank", pa.int32()), ("neighbour", pa.int64()), ("dist", pa.float64())]))
+        got = nearest(ids[asks], x[asks], ids[~asks], x[~asks], k)
+        return pa.Table.from_batches([got]).add_column(0, "q", pa.array(np.full(got.num_rows, keys[1].as_py(), np.int32)))
 
-    some = asked.unionByName(held).groupBy("p", "q").applyInArrow(search, "id bigint, rank int, neighbour bigint, dist double")
+    some = asked.unionByName(held).groupBy("p", "q").applyInArrow(search, "q int, id bigint, rank int, neighbour bigint, dist double")
     own = F.when(F.col("id") == F.col("neighbour"), 0).otherwise(1)
-    best = some.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct(own.alias("o"), "dist", "neighbour"))), 1, k).alias("a"))
-    return best.select("id", F.posexplode("a").alias("rank", "x")).select("id", "rank", F.col("x.neighbour").alias("neighbour"), F.col("x.dist").alias("dist"))
+    some = some.select("id", "q", F.struct(own.alias("o"), "dist", "neighbour").alias("x"))
+    while True:
+        best = some.groupBy("id", F.floor(F.col("q") / MERGED).cast("int").alias("q")).agg(F.slice(F.array_sort(F.collect_list("x")), 1, k).alias("a"))
+        if g <= MERGED:
+            return best.select("id", F.posexplode("a").alias("rank", "x")).select("id", "rank", F.col("x.neighbour").alias("neighbour"), F.col("x.dist").alias("dist"))
+        some, g = best.select("id", "q", F.explode("a").alias("x")), math.ceil(g / MERGED)

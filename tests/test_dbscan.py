@@ -77,7 +77,7 @@ def test_all_routes_and_both_ways_of_components_agree_with_brute_force(spark):
 def test_pairs_of_blocks_smaller_than_the_data(spark):
     x = np.random.default_rng(0).normal(0, 1, (60, 3))
     p = frame(spark, x)
-    few = pairs.by_blocks(p, [0.5, 1.0], 60, block_rows=16)
+    few = pairs.by_blocks(p, [0.5, 1.0], 60, 3, block_rows=16)
     assert sorted(map(tuple, few.select("i", "j", "code").collect())) == sorted(map(tuple, pairs.by_expressions(p, [0.5, 1.0]).select("i", "j", "code").collect()))
 
 
@@ -126,3 +126,114 @@ def test_families_have_their_size_and_do_not_depend_on_partitions(spark):
         assert got.count() == 200 and got.agg(F.min(F.size("v"))).first()[0] == 3
     a, b = (synthetic.generate(spark, "uniform", 50, 2).repartition(k).orderBy("id").collect() for k in (1, 7))
     assert a == b
+
+
+@pytest.mark.parametrize("radius", [0.05, 0.5, 40.0])
+def test_blocks_meet_only_those_within_reach(spark, radius):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.uniform(0, 30, (150, 2)), np.full((50, 2), 7.0), rng.uniform(0, 30, (1, 2)) * [0, 1]])
+    p = frame(spark, x)
+    got = pairs.by_blocks(p, [radius], len(x), 2, block_rows=16)
+    key = lambda df: sorted(map(tuple, df.select("i", "j").collect()))
+    assert key(got) == key(pairs.by_expressions(p, [radius]))
+    rows = pairs.blocks(p, radius, len(x), 2, 16).collect()
+    sizes = [sum(r.b == b for r in rows) for b in {r.b for r in rows}]
+    spans = [r["last"] - r["first"] + 1 for r in rows]
+    assert max(sizes) < 48 and (max(spans) <= len(sizes) // 2 if radius < 1 else min(spans) == len(sizes))
+
+
+def test_blocks_of_nothing(spark):
+    p = frame(spark, np.zeros((1, 2))).where("id > 5")
+    assert pairs.by_blocks(p, [1.0], 0, 2).isEmpty()
+
+
+def test_a_search_over_its_budget_is_refused(spark):
+    x = np.random.default_rng(2).normal(0, 0.01, (400, 2))
+    p = frame(spark, x)
+    with pytest.raises(pairs.TooManyPairs, match="budget of 1000"):
+        dbscan.fit(p, [1.0], [4], max_pairs=1000)
+    assert dbscan.fit(p, [1e-9], [4], max_pairs=1000).table.isEmpty()
+    assert pairs.estimate(p, 1.0, 400) == 400 * 399 / 2
+    assert 0.7 < pairs.estimate(p, 1.0, 400, asked=60) / (400 * 399 / 2) <= 1.01
+
+
+def test_cost_predicate(spark):
+    rows = [(4_000_000, 16_000_000, 6, 2, True), (13_400_000, 64_000**2, 6, 64, True), (72_000_000, 16_000**2, 2, 64, False), (1_170_000_000, 64_000**2, 2, 64, False)]
+    got = spark.createDataFrame(rows, "nnz bigint, searched bigint, n_eps int, d int, pays boolean")
+    assert got.where(pairs.one_search_pays(F.col("nnz"), F.col("searched"), F.col("n_eps"), F.col("d")) != F.col("pays")).isEmpty()
+
+
+def _blobs(rng, parts):
+    return np.concatenate([rng.normal(c, sd, (n, 2)).astype(np.float32) for c, n, sd in parts])
+
+
+def _two(seed, n, sd):
+    return _blobs(np.random.default_rng(seed), [((-1.0, 0.0), n, sd), ((1.0, 0.0), n, sd)])
+
+
+def _wide(base, d):
+    out = np.zeros((len(base), d), np.float32)
+    out[:, : min(2, d)] = base[:, : min(2, d)]
+    return out
+
+
+def _lines(d):
+    out = np.zeros((24, d), np.float32)
+    out[:12, 0], out[12:, 0] = np.linspace(-1.05, -0.95, 12), np.linspace(0.95, 1.05, 12)
+    return out
+
+
+def _random(seed):
+    rng = np.random.default_rng(10_000 + seed)
+    return np.concatenate([_blobs(rng, [((-1.0, -0.2), 20, 0.10), ((0.0, 1.0), 20, 0.10), ((1.0, -0.2), 20, 0.10)]), rng.uniform(-1.5, 1.5, (8, 2)).astype(np.float32)])
+
+
+_TENTH = [float(np.nextafter(np.float32(0.1), np.float32(-np.inf))), 0.1, float(np.nextafter(np.float32(0.1), np.float32(np.inf)))]
+_FLAT = [(2, 39, 0, 1, 0), (2, 37, 2, 1, 0), (2, 40, 0, 0, 0), (2, 39, 1, 0, 0), (2, 40, 0, 0, 0), (2, 40, 0, 0, 0)]
+ADVERSARIAL = {
+    "all_noise_1d": (np.arange(24.0)[:, None] * 10, [0.1, 1.0], [2, 4], [(0, 0, 0, 24, 0)] * 4),
+    "one_cluster_duplicates_2d": (np.zeros((32, 2)), _TENTH, [1, 8, 32, 33], ([(1, 32, 0, 0, 0)] * 3 + [(0, 0, 0, 32, 0)]) * 3),
+    "dimension_1": (_wide(_two(2026, 20, 0.05), 1), [0.08, 0.18, 0.40], [3, 6], [(2, 40, 0, 0, 0)] * 6),
+    **{f"dimension_{d}": (_wide(_two(2026, 20, 0.05), d), [0.08, 0.18, 0.40], [3, 6], _FLAT) for d in (2, 16, 33)},
+    "high_dimension_8193": (_lines(8193), [0.03, 0.15], [2, 5], [(2, 24, 0, 0, 0), (2, 20, 4, 0, 0), (2, 24, 0, 0, 0), (2, 24, 0, 0, 0)]),
+    "forced_batches_2d": (_two(3000, 500, 0.08), [0.04, 0.10], [4, 12], [(2, 970, 9, 21, 0), (2, 844, 93, 63, 0), (2, 1000, 0, 0, 0), (2, 995, 5, 0, 0)]),
+    "random_seed_000": (_random(0), [0.10], [3, 5, 9, 15], [(5, 49, 5, 14, 0), (4, 41, 10, 17, 0), (2, 5, 20, 43, 0), (0, 0, 0, 68, 0)]),
+}
+
+
+@pytest.mark.parametrize("name", ADVERSARIAL)
+def test_adversarial_points(spark, name):
+    x, eps, counts, want = ADVERSARIAL[name]
+    route = {"forced_batches_2d": "blocks", "high_dimension_8193": "blocks"}.get(name, "auto")
+    assert cells(dbscan.fit(frame(spark, x), eps, counts, route)) == want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_points_by_brute_force(spark, seed):
+    x, eps, counts = _random(seed), [0.10, 0.20, 0.35], [3, 5, 9, 15]
+    fit = dbscan.fit(frame(spark, x), eps, counts)
+    got = {(r.config, r.id): r.label for r in fit.labels().collect()}
+    assert got == {(k * 4 + q, i): v for k, e in enumerate(eps) for q, m in enumerate(counts) for i, v in enumerate(brute(x, e, m))}
+
+
+def test_clusters_are_numbered_alike_in_many_tasks(spark, monkeypatch):
+    x = np.arange(60.0).repeat(3)[:, None]
+    fit = dbscan.fit(frame(spark, x), [0.1, 1.0], [2, 4])
+    one = sorted(map(tuple, fit.labels().collect()))
+    monkeypatch.setattr(dbscan, "LOCAL_CLUSTERS", 0)
+    assert sorted(map(tuple, fit.labels().collect())) == one
+
+
+def test_border_assignment_has_no_row_for_each_pair_and_configuration(spark):
+    fit = dbscan.fit(frame(spark, _random(3)), [0.1, 0.2, 0.35], [3, 5, 9])
+    plan = fit._beside()._jdf.queryExecution().optimizedPlan().toString()
+    assert "CartesianProduct" not in plan and "Join Cross" not in plan
+    late = fit._beside().count()
+    assert late < 2 * fit.table.count() * 9 / 3
+
+
+def test_monotonicity_finds_planted_faults(spark):
+    fit = dbscan.fit(frame(spark, UNIT), [0.25, 1.0], [2, 3, 4])
+    rows = spark.createDataFrame([(c, n) for c, n in enumerate([1, 2, 0, 3, 1, 1])], "config int, n_noise bigint")
+    got = sorted(map(tuple, validate.monotonicity(rows, fit.configurations).collect()))
+    assert got == [("eps", 3, 3, 1), ("eps", 5, 1, 0), ("min_pts", 2, 0, 2), ("min_pts", 4, 1, 3)]
