@@ -26,14 +26,15 @@ def descriptive(rows: DataFrame, keys: list[str], x: str) -> DataFrame:
     return rows.groupBy(*keys).agg(*aggs)
 
 
-def bootstrap(rows: DataFrame, keys: list[str], x: str, order: str, resamples: int = RESAMPLES) -> DataFrame:
-    """(keys, n, low, high, conclusive): the 95 % interval of the median by resampling the values as ordered, seeded by the key alone.
+def bootstrap(rows: DataFrame, keys: list[str], x: str, order: str, resamples: int = RESAMPLES, seed: str | None = None) -> DataFrame:
+    """(keys, n, low, high, conclusive): the 95 % interval of the median by resampling the values as ordered.
 
-    A group holds the blocks of one case, some tens of values; it is all that a task gathers.
+    Draws are seeded by the key alone, or by a column's text that is one in each group. A group holds the blocks of one
+    case, some tens of values; it is all that a task gathers.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = "|".join(str(pdf[k].iloc[0]) for k in keys)
+        key = str(pdf[seed].iloc[0]) if seed else "|".join(str(pdf[k].iloc[0]) for k in keys)
         values = pdf.sort_values(order)[x].tolist()
         rng = random.Random(int.from_bytes(hashlib.sha256(key.encode()).digest()[:8], "big"))
         medians = np.median(np.array([[values[rng.randrange(len(values))] for _ in values] for _ in range(resamples)]), axis=1)
@@ -42,13 +43,15 @@ def bootstrap(rows: DataFrame, keys: list[str], x: str, order: str, resamples: i
 
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n bigint, low double, high double, conclusive boolean"
-    return rows.select(*keys, order, F.col(x).cast("double").alias(x)).groupBy(*keys).applyInPandas(one, schema)
+    return rows.select(*keys, order, *([seed] if seed else []), F.col(x).cast("double").alias(x)).groupBy(*keys).applyInPandas(one, schema)
 
 
 def paired_ratios(rows: DataFrame, keys: list[str], ratio: str = "ratio") -> DataFrame:
-    """(keys, ratio): the geometric mean of exactly two positive finite ratios, forward and reverse; other groups are left out."""
-    ok = (F.count("*") == 2) & (F.min(ratio) > 0) & F.every(F.col(ratio) < float("inf"))
-    return rows.groupBy(*keys).agg(F.exp(F.avg(F.ln(ratio))).alias(ratio), ok.alias("ok")).where("ok").drop("ok")
+    """(keys, ratio): the geometric mean of two positive finite ratios; any other group is an error where the result is read."""
+    ok = (F.count("*") == 2) & (F.count(ratio) == 2) & (F.min(ratio) > 0) & F.every(F.col(ratio) < float("inf"))
+    got = rows.groupBy(*keys).agg(F.exp(F.avg(F.ln(ratio))).alias("mean"), F.coalesce(ok, F.lit(False)).alias("ok"))
+    fault = F.concat(F.concat_ws("/", *(F.col(k).cast("string") for k in keys)), F.lit(": needs two positive finite ratios"))
+    return got.select(*keys, F.when(F.col("ok"), F.col("mean")).otherwise(F.raise_error(fault).cast("double")).alias(ratio))
 
 
 def block_ratios(records: DataFrame, value: str = "fit_ms") -> DataFrame:
@@ -57,13 +60,6 @@ def block_ratios(records: DataFrame, value: str = "fit_ms") -> DataFrame:
     return wide.withColumns({"gain": F.col("sequential") / F.col("multi"), "speedup": F.col("baseline") / F.col("multi")})
 
 
-def route_ratios(records: DataFrame, value: str = "fit_ms") -> DataFrame:
-    """(case_id, block, annotated_vs_dense, auto_efficiency, best_forced) of (case_id, block, route, value)."""
-    wide = records.groupBy("case_id", "block").pivot("route", ["auto", "annotated", "dense"]).agg(F.first(value))
-    best = F.least("annotated", "dense")
-    return wide.select("case_id", "block", (F.col("dense") / F.col("annotated")).alias("annotated_vs_dense"), (best / F.col("auto")).alias("auto_efficiency"), best.alias("best_forced"))
-
-
 def complete(records: DataFrame, expected: DataFrame, axes: list[str], case: str = "case_id") -> DataFrame:
     """Records of cases without missing, extra or failed axes; one such drops the whole case."""
     missing = expected.join(records, axes, "left_anti").select(case)
@@ -77,19 +73,6 @@ def duplicates(records: DataFrame, axes: list[str]) -> DataFrame:
     return records.groupBy(*axes).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def aggregate(records: DataFrame, expected: DataFrame) -> DataFrame:
-    """The summary of a campaign: for each case the statistics of its paired gains. Duplicate records are an error.
-
-    records: case_id, block, method, fit_ms, ok. Blocks 2k and 2k + 1 are a pair, forward and reverse.
-    """
-    axes = ["case_id", "block", "method"]
-    if not duplicates(records, axes).isEmpty():
-        raise ValueError("duplicate records")
-    ratios = block_ratios(complete(records, expected, axes))
-    pairs = paired_ratios(ratios.select("case_id", F.floor(F.col("block") / 2).alias("pair"), F.col("gain").alias("ratio")), ["case_id", "pair"])
-    return descriptive(pairs, ["case_id"], "ratio")
-
-
 def cost_fit(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """(keys, marginal, fixed, ceiling): y = fixed + marginal * x by least squares, and the most that sharing can gain."""
     got = rows.groupBy(*keys).agg(F.regr_slope(y, x).alias("marginal"), F.regr_intercept(y, x).alias("fixed"))
@@ -107,6 +90,14 @@ def marginal_cost(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(((F.max("grid_ms") - F.min("solo_ms")) / (F.count("*") - 1)).alias("marginal"))
 
 
+def phases(rows: DataFrame, edges: Column | int) -> DataFrame:
+    """(phase, ms, per_config, share, ms_per_1e9_edges) of (phase, ms, per_config): each phase's part of the whole."""
+    whole = rows.agg(F.sum("ms").alias("whole"))
+    got = rows.groupBy("phase", "per_config").agg(F.sum("ms").alias("ms")).crossJoin(F.broadcast(whole))  # a single row
+    per = F.col("ms") * 1e9 / (F.lit(edges) if isinstance(edges, int) else edges)
+    return got.select("phase", "per_config", "ms", (F.col("ms") / F.col("whole")).alias("share"), per.alias("ms_per_1e9_edges"))
+
+
 def profile(phases: DataFrame) -> DataFrame:
     """(shared, per_config, total, share_shared, ceiling) of (phase, ms, per_config)."""
     own = F.sum(F.when(F.col("per_config"), F.col("ms")).otherwise(0.0))

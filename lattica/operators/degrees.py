@@ -43,6 +43,17 @@ def offsets(deg: DataFrame, radius: int) -> DataFrame:
     return rows.join(before, "bucket").select("id", "degree", (F.col("before") + F.coalesce(F.sum("degree").over(inner), F.lit(0))).alias("row_offset"))
 
 
+def columns(table: DataFrame, points: DataFrame, radius: int) -> DataFrame:
+    """(id, place, neighbour): the column indices of the compressed adjacency, ascending in each row, self included.
+
+    An entry stands at row_offset + place, with the row_offset of `offsets`. A row is one point's neighbours.
+    """
+    near = table.where(F.col("code") <= radius)
+    entries = near.select(F.col("i").alias("id"), F.col("j").alias("neighbour")).union(near.select("j", "i")).union(points.select("id", "id"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("neighbour")) - 1
+    return entries.select("id", place.cast("bigint").alias("place"), "neighbour")
+
+
 def core_radius(deg: DataFrame, min_pts: list[int]) -> DataFrame:
     """(mp_idx, id, c): the smallest radius index at which a point is core for a count; points that never are have no row.
 

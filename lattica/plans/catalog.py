@@ -124,8 +124,8 @@ def eps_range(spark, sf_dir):
 
 @query("select (row_number() over (order by p_size) - 1)::int as k, p_size::double as v from (select distinct p_size from part)")
 def normalize_grid(spark, sf_dir):
-    sizes = _table(spark, sf_dir, "part").agg(F.posexplode(F.array_sort(F.collect_set(F.col("p_size").cast("double")))).alias("k", "v"))
-    return sizes.select("k", "v")
+    sizes = [r.v for r in _table(spark, sf_dir, "part").select(F.col("p_size").cast("double").alias("v")).distinct().collect()]  # 50 sizes
+    return spark.createDataFrame(list(enumerate(grid.normalize(sizes + sizes))), "k int, v double")
 
 
 @query("select * from (values (0, 8), (1, 11), (2, 15), (3, 20), (4, 27), (5, 37), (6, 50), (7, 68)) t(k, min_pts)")
@@ -364,14 +364,14 @@ def block_pivot_ratios(spark, sf_dir):
 @query(_WIDE + " select case_id, (block // 2)::bigint as pair, round(exp(avg(ln(sequential / multi))), 6) as ratio from wide group by all having count(*) = 2 and min(sequential / multi) > 0")
 def paired_ratio_geomean(spark, sf_dir):
     got = stats.block_ratios(records(spark, sf_dir)).select("case_id", F.floor(F.col("block") / 2).alias("pair"), F.col("gain").alias("ratio"))
-    return stats.paired_ratios(got, ["case_id", "pair"]).withColumn("ratio", F.round("ratio", 6))
+    return stats.paired_ratios(got.where("ratio is not null"), ["case_id", "pair"]).withColumn("ratio", F.round("ratio", 6))
 
 
 @query(sql.RECORDS + """, bad as (select distinct case_id from rec where fit_ms > (select quantile_cont(fit_ms, 0.99) from rec))
 select case_id, block, method from rec where case_id not in (select case_id from bad) and case_id not in ('c3', 'c4')""")
 def completeness_antijoin(spark, sf_dir):
     """Case 3 lacks an expected block, case 4 has one too many, and the slowest hundredth counts as failed."""
-    rec = records(spark, sf_dir).persist()
+    rec = written(records(spark, sf_dir), "records")
     limit = rec.agg(F.percentile("fit_ms", F.lit(0.99)).alias("limit"))
     judged = rec.crossJoin(F.broadcast(limit)).withColumn("ok", F.col("fit_ms") <= F.col("limit"))
     axes = ["case_id", "block", "method"]

@@ -2,59 +2,126 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs as pafs
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RECORD = "case_id string, block int, method string, route string, fit_ms double, ok boolean"
 
 
-def _sized(spark: SparkSession, path: str, wanted: int) -> DataFrame:
+def _based(spark: SparkSession, path: str, width: int, wanted: int | None = None) -> DataFrame:
+    """(content, base) of the files at path, in the order of their names: base counts the records of all files before.
+
+    Each file holds whole records of `width` bytes and is one row (2 GB at most; `write_raw` writes smaller ones).
+    """
     files = spark.read.format("binaryFile").load(path)
-    size = files.agg(F.sum("length")).first()[0] or 0
-    if size != wanted:
+    found = sorted((r.path, r.length) for r in files.select("path", "length").collect())  # a row for each file
+    size = sum(n for _, n in found)
+    if wanted is not None and size != wanted:
         raise ValueError(f"{path} holds {size} bytes, not {wanted}")
-    return files
+    if odd := [p for p, n in found if n % width]:
+        raise ValueError(f"{odd[0]} holds no whole number of {width} bytes")
+    base, at = [], 0
+    for p, n in found:
+        base.append((p, at))
+        at += n // width
+    return files.join(F.broadcast(spark.createDataFrame(base, "path string, base bigint")), "path").select("content", "base")
 
 
-def read_raw(spark: SparkSession, path: str, n: int, d: int) -> DataFrame:
-    """n x d row-major little-endian float32 without a header, of exactly that size, as points."""
+def _records(based: DataFrame, dtype: str, shape: tuple[int, ...], columns, schema: str) -> DataFrame:
+    """Rows that `columns` makes of 10 000 records at a time: their positions and an array of the dtype and shape."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw in batch["content"]:
-                x = np.frombuffer(raw.as_buffer(), "<f4").reshape(-1, d).astype(np.float64)
+            for raw, base in zip(batch["content"], batch["base"].to_pylist(), strict=True):
+                x = np.frombuffer(raw.as_buffer(), dtype).reshape(-1, *shape)
                 for lo in range(0, len(x), 10_000):
                     part = x[lo : lo + 10_000]
-                    v = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * d), pa.array(part.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(part))), v], names=["id", "v"])
+                    yield columns(np.arange(base + lo, base + lo + len(part)), part)
+
+    return based.mapInArrow(decode, schema)
+
+
+#: Types of flat arrays (fixed values) and the columns that hold them.
+KINDS = {"float32": ("<f4", "double"), "float64": ("<f8", "double"), "int32": ("<i4", "int"), "int64": ("<i8", "bigint"), "uint32": ("<u4", "bigint"), "uint8": ("u1", "int")}
+
+
+def read_typed(spark: SparkSession, path: str, kind: str, n: int | None = None) -> DataFrame:
+    """(position, value) of flat little-endian arrays without a header; n values exactly, if given."""
+    dtype, sql = KINDS[kind]
+    width = np.dtype(dtype).itemsize
+    wide = {"double": np.float64, "int": np.int32, "bigint": np.int64}[sql]
+    columns = lambda at, x: pa.RecordBatch.from_arrays([pa.array(at), pa.array(x.astype(wide))], names=["position", "value"])
+    return _records(_based(spark, path, width, None if n is None else n * width), dtype, (), columns, f"position bigint, value {sql}")
+
+
+def read_raw(spark: SparkSession, path: str, n: int, d: int) -> DataFrame:
+    """n x d row-major little-endian float32 without a header, in one file or several, of exactly that size, as points."""
 
-    return _sized(spark, path, 4 * n * d).select("content").mapInArrow(decode, "id bigint, v array<double>")
+    def columns(at: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        v = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * d), pa.array(x.astype(np.float64).ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(at), v], names=["id", "v"])
+
+    return _records(_based(spark, path, 4 * d, 4 * n * d), "<f4", (d,), columns, "id bigint, v array<double>")
 
 
 def read_labels(spark: SparkSession, path: str, n: int, configs: int) -> DataFrame:
     """configs x n little-endian int32, configuration by configuration."""
+    columns = lambda at, x: pa.RecordBatch.from_arrays([pa.array((at // n).astype(np.int32)), pa.array(at % n), pa.array(x)], names=["config", "id", "label"])
+    return _records(_based(spark, path, 4, 4 * n * configs), "<i4", (), columns, "config int, id bigint, label int")
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw in batch["content"]:
-                x = np.frombuffer(raw.as_buffer(), "<i4")
-                at = np.arange(len(x))
-                yield pa.RecordBatch.from_arrays([pa.array((at // n).astype(np.int32)), pa.array(at % n), pa.array(x)], names=["config", "id", "label"])
 
-    return _sized(spark, path, 4 * n * configs).select("content").mapInArrow(decode, "config int, id bigint, label int")
+def _write_parts(rows: DataFrame, keys: list[str], pack, path: str, files: int | None) -> int:
+    """Writes rows by ranges of the keys to `part-*` files in their order, each whole or not there; returns how many.
 
+    A task writes under a name of its own; only those that Spark accepted are renamed, so a lost executor or a second
+    attempt leaves nothing behind. files: how many, about; else as many as there are partitions. path is a URI that driver and executors share.
+    """
+    spark = rows.sparkSession
+    draft = f"{path.rstrip('/')}/_draft-{uuid.uuid4().hex}"
 
-def packed_labels(labels: DataFrame) -> DataFrame:
-    """(config, content): each configuration's labels as int32 bytes by id, ready for a binary sink."""
-    rows = F.array_sort(F.collect_list(F.struct("id", "label")))
-    hexed = F.transform(F.transform(rows, lambda r: r["label"]), lambda x: F.lpad(F.hex(x.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
-    little = F.transform(hexed, lambda h: F.concat(*(F.substring(h, k, 2) for k in (7, 5, 3, 1))))
-    return labels.groupBy("config").agg(F.unhex(F.array_join(little, "")).alias("content"))
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, out, name = TaskContext.get().partitionId(), None, uuid.uuid4().hex
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if out is None:
+                place, at = pafs.FileSystem.from_uri(draft)
+                place.create_dir(at, recursive=True)
+                out = place.open_output_stream(f"{at}/{name}")
+            out.write(pack(batch))
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([name])], names=["pid", "name"])
+
+    dealt = (rows.repartitionByRange(files, *keys) if files else rows.repartitionByRange(*keys)).sortWithinPartitions(*keys)
+    made = sorted((r.pid, r.name) for r in dealt.mapInArrow(write, "pid int, name string").collect())  # a row for each file
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for k, (_, name) in enumerate(made):
+        if not fs.rename(hadoop(f"{draft}/{name}"), hadoop(f"{path.rstrip('/')}/part-{k:06d}")):
+            raise OSError(f"could not place part {k} of {path}")
+    fs.delete(hadoop(draft), True)
+    return len(made)
+
+
+def write_raw(points: DataFrame, path: str, files: int | None = None) -> int:
+    """Points as row-major little-endian float32 in id order, what `read_raw` reads; returns the number of files."""
+    return _write_parts(points.select("id", "v"), ["id"], lambda b: np.asarray(b["v"].flatten()).astype("<f4").tobytes(), path, files)
+
+
+def write_raw_labels(labels: DataFrame, path: str, files: int | None = None) -> int:
+    """Labels as int32 by configuration and id, what `read_labels` reads; returns the number of files."""
+    return _write_parts(labels.select("config", "id", F.col("label").cast("int").alias("label")), ["config", "id"], lambda b: np.asarray(b["label"]).astype("<i4").tobytes(), path, files)
 
 
 def write_labels(labels: DataFrame, path: str) -> None:
@@ -70,32 +137,28 @@ def from_array(rows: DataFrame, id_column: str, column: str, width: int | None =
     return rows.select(F.col(id_column).cast("bigint").alias("id"), (F.slice(v, 1, width) if width else v).alias("v"))
 
 
+def _tree_hash(rows: DataFrame, about: Column) -> DataFrame:
+    """One row, `sha256`: of what `about` says and, by id, of each row's own hash h, in buckets of 65 536 ids."""
+    each = rows.select(F.floor(F.col("id") / 65536).alias("b"), "id", "h")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "h"))), lambda x: F.concat(x["id"].cast("string"), F.lit(":"), x["h"])), ",")
+    buckets = each.groupBy("b").agg(F.sha2(listed, 256).alias("h"), F.count("*").alias("n"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ",")
+    return buckets.agg(F.sha2(F.concat_ws("|", about, F.coalesce(F.sum("n"), F.lit(0)).cast("string"), whole), 256).alias("sha256"))
+
+
+@F.arrow_udf(T.StringType())
+def _row_hash(v: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else hashlib.sha256(np.asarray(x, "<f8").tobytes()).hexdigest() for x in v.to_pylist()], pa.string())
+
+
 def fingerprint(points: DataFrame) -> DataFrame:
-    """One row, `sha256`: of the shape and, in id order, of each row's own hash; order of rows and partitions doesn't matter."""
-    each = points.select(F.floor(F.col("id") / 65536).alias("b"), "id", F.sha2(F.to_json("v").cast("binary"), 256).alias("h"))
-    buckets = each.groupBy("b").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "h"))), lambda x: F.concat(x["id"].cast("string"), F.lit(":"), x["h"])), ","), 256).alias("h"), F.count("*").alias("n"))
-    return buckets.agg(F.sha2(F.concat_ws("|", F.sum("n").cast("string"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ",")), 256).alias("sha256"))
-
-
-def metadata(spark: SparkSession, path: str) -> dict:
-    """A data set's JSON; the protocol, shape, grid and hash must be there and the grid ascending."""
-    meta = json.loads("\n".join(r.value for r in spark.read.text(path).collect()))
-    missing = {"protocol", "dataset", "n", "d", "seed", "eps", "min_samples"} - meta.keys()
-    if missing:
-        raise ValueError(f"metadata lacks {sorted(missing)}")
-    for key in ("eps", "min_samples"):
-        if meta[key] != sorted(set(meta[key])) or not meta[key]:
-            raise ValueError(f"{key} is not ascending and distinct")
-    return meta
-
-
-def write_dataset(points: DataFrame, truth: DataFrame | None, meta: dict, path: str) -> None:
-    """Points, true labels and metadata below one path; the hash goes into the metadata."""
-    points.write.parquet(f"{path}/points")
-    if truth is not None:
-        truth.write.parquet(f"{path}/truth")
-    full = meta | {"sha256": fingerprint(points).first().sha256}
-    points.sparkSession.createDataFrame([(json.dumps(full, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/metadata")
+    """One row, `sha256`: of type, shape and each row's little-endian bytes, by id; partitions don't matter."""
+    rows = points.select("id", F.concat(F.size("v").cast("string"), F.lit("x"), _row_hash("v")).alias("h"))
+    return _tree_hash(rows, F.lit("float64"))
+
+
+def label_fingerprint(truth: DataFrame, label: str = "truth") -> DataFrame:
+    return _tree_hash(truth.select("id", F.coalesce(F.col(label).cast("string"), F.lit("null")).alias("h")), F.lit("int32"))
 
 
 def write_failure(points: DataFrame, labels: DataFrame, manifest: dict, path: str) -> str:

@@ -4,9 +4,11 @@ import statistics
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.functions import stats
 from lattica.plans import catalog
+from lattica.sources import datasets
 from lattica.sources import points as src
 
 
@@ -20,7 +22,61 @@ def test_raw_points_and_labels(spark, tmp_path):
     labels = np.array([0, -1, 1, 0, 2, -1], "<i4")
     (tmp_path / "l.i32").write_bytes(labels.tobytes())
     read = src.read_labels(spark, str(tmp_path / "l.i32"), 3, 2)
-    assert [r.content for r in src.packed_labels(read).orderBy("config").collect()] == [labels[:3].tobytes(), labels[3:].tobytes()]
+    assert sorted(map(tuple, read.collect())) == [(0, 0, 0), (0, 1, -1), (0, 2, 1), (1, 0, 0), (1, 1, 2), (1, 2, -1)]
+    assert src.write_raw_labels(read.repartition(3), f"file://{tmp_path}/labels") >= 1
+    parts = sorted((tmp_path / "labels").glob("part-*"))
+    assert b"".join(p.read_bytes() for p in parts) == labels.tobytes() and len(list((tmp_path / "labels").glob("_*"))) == 0
+
+
+def test_several_files_are_one_array(spark, tmp_path):
+    x = np.random.default_rng(0).normal(size=(25_003, 2)).astype("<f4")
+    p = spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(x)], "id bigint, v array<double>").repartition(5)
+    n = src.write_raw(p, f"file://{tmp_path}/raw", 3)
+    assert n > 1 and b"".join(f.read_bytes() for f in sorted((tmp_path / "raw").glob("part-*"))) == x.tobytes()
+    got = src.read_raw(spark, f"file://{tmp_path}/raw/part-*", len(x), 2).orderBy("id").collect()
+    assert [r.id for r in got] == list(range(len(x))) and np.array_equal(np.array([r.v for r in got], "f4"), x)
+    typed = src.read_typed(spark, f"file://{tmp_path}/raw/part-*", "float32", x.size)
+    assert typed.agg({"position": "max"}).first()[0] == x.size - 1
+    (tmp_path / "raw" / "part-999999").write_bytes(b"odd")
+    with pytest.raises(ValueError):
+        src.read_typed(spark, f"file://{tmp_path}/raw/part-*", "float32")
+
+
+@pytest.mark.parametrize("kind", src.KINDS)
+def test_typed_arrays(spark, tmp_path, kind):
+    x = np.array([0, 1, 2, 200], src.KINDS[kind][0])
+    (tmp_path / "a").write_bytes(x.tobytes())
+    assert [r.value for r in src.read_typed(spark, str(tmp_path / "a"), kind, 4).orderBy("position").collect()] == x.tolist()
+
+
+def test_datasets_are_validated_as_a_whole(spark, tmp_path):
+    p = spark.createDataFrame([(i, [float(i), 0.5]) for i in range(6)], "id bigint, v array<double>")
+    truth = p.selectExpr("id", "cast(id % 2 as int) as truth")
+    protocol = {"name": "v1", "seed": 7, "generator": "g", "eps_quantiles": [0.5, 0.9], "pool_size": 3}
+    meta = {"protocol": "v1", "dataset": "x_2d", "seed": 7, "generator": "g", "eps_quantiles": [0.5, 0.9], "eps": [0.1, 0.2], "min_samples": [2, 4]}
+    path = f"file://{tmp_path}/d"
+    datasets.write_dataset(p, truth, meta, path)
+    good = datasets.validate_dataset(spark, path, "x_2d", 6, protocol)
+    assert good["eps_pool"] == [0.1, 0.2] and good["minpts_pool"] == [2, 3, 4]
+    whole = datasets.metadata(spark, path)
+    for change in ({"seed": 8}, {"dtype": "float64"}, {"d": 3}, {"d": True}, {"eps": [0.2, 0.1]}, {"eps": [0.1]}, {"min_samples": []}, {"min_samples": [0]}, {"eps_quantiles": [0.5]}, {"n": 7}, {"generator": "h"}):
+        assert datasets.faults(whole | change, protocol, "x_2d", 6), change
+    assert datasets.faults(whole, protocol, "x_2d", 6) == [] and datasets.faults(whole, protocol, "y_3d", 6)
+    p.withColumn("v", F.when(F.col("id") == 2, F.array(F.lit(9.0), F.lit(9.0))).otherwise(F.col("v"))).write.mode("overwrite").parquet(f"{path}/points")
+    with pytest.raises(ValueError, match="points have another hash"):
+        datasets.validate_dataset(spark, path, "x_2d", 6, protocol)
+    spark.createDataFrame([("{}",)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+    with pytest.raises(ValueError, match="lacks"):
+        datasets.metadata(spark, path)
+
+
+def test_lookup_of_unknown_data_sets_raises(spark):
+    pools = spark.createDataFrame([("a", 1, [0.5, 1.0], [3])], "dataset string, n int, eps_pool array<double>, minpts_pool array<int>")
+    cases = spark.createDataFrame([("a", 1, [1], [0])], "dataset string, n int, eps_indices array<int>, minpts_indices array<int>")
+    assert [(r.eps, r.min_samples) for r in datasets.lookup(cases, pools).collect()] == [([1.0], [3])]
+    for bad in (("a", 2, [0], [0]), ("a", 1, [2], [0])):
+        with pytest.raises(Exception, match="no data set"):
+            datasets.lookup(spark.createDataFrame([bad], cases.schema), pools).collect()
 
 
 def test_failure_artifacts_replay_and_notice_changes(spark, tmp_path):
@@ -43,16 +99,10 @@ def test_paired_ratios_and_routes(spark):
     assert round(other.ratio, 9) == round(5.4**0.5, 9)
 
 
-def test_incomplete_cases_go_whole_and_duplicates_raise(spark):
-    schema = "case_id string, block int, method string, fit_ms double, ok boolean"
-    good = [(c, b, m, 1.0 + b, True) for c in "ab" for b in (0, 1) for m in ("multi", "sequential", "baseline")]
-    rec = spark.createDataFrame(good, schema)
-    axes = ["case_id", "block", "method"]
-    expected = rec.select(*axes)
-    assert stats.complete(rec.where("not (case_id = 'a' and block = 0 and method = 'multi')"), expected, axes).select("case_id").distinct().collect() == [("b",)]
-    assert {r.case_id for r in stats.aggregate(rec, expected).collect()} == {"a", "b"}
-    with pytest.raises(ValueError):
-        stats.aggregate(rec.union(rec.limit(1)), expected)
+def test_ratios_that_are_no_pair_raise(spark):
+    for rows in ([("a", 1.0)], [("a", 1.0), ("a", -2.0)], [("a", 1.0), ("a", float("inf"))], [("a", 1.0), ("a", 2.0), ("a", 3.0)], [("a", 1.0), ("a", None)]):
+        with pytest.raises(Exception, match="two positive finite ratios"):
+            stats.paired_ratios(spark.createDataFrame(rows, "k string, ratio double"), ["k"]).collect()
 
 
 def test_descriptive_of_one_value_and_bootstrap(spark):
