@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.sources.stored import written
+from lattica.sources.stored import remove_table, written
 
 LOCAL_LINKS = 4_000_000
 
@@ -125,7 +125,8 @@ def connected(links: DataFrame, key: str) -> DataFrame:
         large = both.where("v > u").join(low, [key, "u"]).select(key, F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy(key, "u").agg(F.min("v").alias("m"))
         small = large.join(least, [key, "u"]).select(key, F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(key, "u", "m"))
-        now = written(small.where("u != v").distinct(), "links")
+        before, now = now, written(small.where("u != v").distinct(), "links")
+        remove_table(before)
 
 
 def by_rounds(core: DataFrame, forest: DataFrame, k: int) -> DataFrame:
