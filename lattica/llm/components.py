@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import remove_table, written
 
 
 def roots(parents: DataFrame) -> DataFrame:
@@ -21,9 +21,11 @@ def roots(parents: DataFrame) -> DataFrame:
         up = now.select(F.col("node").alias("root"), F.col("root").alias("higher"))
         step = now.join(up, "root", "left").select("node", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved"))
         step = written(step, "roots")
+        remove_table(now)
         if step.where("moved").isEmpty():
             return step.select("node", "root")
         now = step.select("node", "root")
+        now.stored_at = step.stored_at
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -43,4 +45,6 @@ def components(links: DataFrame) -> DataFrame:
         # small star: u and its neighbours below link to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).where("u != v").distinct()
-        now = written(small.select("u", "v") if small.columns == ["u", "v"] else small.toDF("u", "v"), "links")
+        before, now = now, written(small.toDF("u", "v"), "links")
+        remove_table(before)
+        remove_table(large)

@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from lattica.sources.ranges import free_name, ranged, ranked
 from lattica.sources.stored import remove, remove_table, work_dir, written
 
 __all__ = ["bounded_batches", "free_name", "ranged", "ranked", "remove", "remove_table", "table", "work_dir", "written"]
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """name, or name with underscores if df has such a column already."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -25,32 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Has texts go to Python in batches of at most so many rows and 8 MB, which bounds a worker's and Arrow's buffers.
 
-    A smaller setting of the session stays.
+    A smaller setting of the session stays. The settings are not put back, as plans are made when results are read.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
-
-
-def ranged(df: DataFrame, keys: list[str], out: str) -> DataFrame:
-    """The rows dealt by ranges of the keys, written, with the number of their range: ranges ascend with the keys.
-
-    A range holds about as many rows as any other, so a first key with a third of all rows spans many ranges.
-    """
-    return written(df.repartitionByRange(*(F.col(f"`{k}`") for k in keys)).withColumn(out, F.spark_partition_id()), "ranges")
-
-
-def ranked(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
-    """Appends the row's number by order in its group, from 1; a group of any size is dealt over many tasks.
-
-    Rows are numbered in each range of (group, order), and start after the rows of the group's earlier ranges, of which
-    there is one count for each. Groups must not be null.
-    """
-    part, before = free_name(df, "part"), free_name(df, "before")
-    rows = ranged(df, [*group, *order], part)
-    counts = rows.groupBy(*group, part).agg(F.count("*").alias(before))
-    earlier = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*group, part, F.coalesce(F.sum(before).over(earlier), F.lit(0)).alias(before))
-    own = F.row_number().over(Window.partitionBy(*group, part).orderBy(*order))
-    return rows.withColumn(out, own.cast("bigint")).join(starts, [*group, part]).withColumn(out, F.col(out) + F.col(before)).drop(part, before)
