@@ -2,8 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
 of docs. `run` writes each result as Parquet to the shared folder and reads it again as the next stage's docs, so a
-lost executor costs at most a stage. Columns of docs beyond doc_id and text pass through; null texts fail the quality
-rules, and documents without an id are kept by the near-duplicate stage.
+lost executor costs at most a stage. Columns of docs beyond doc_id and text pass through, whatever their names; null,
+empty and wordless texts fail the quality rules, and documents without an id are kept by the near-duplicate stage. Rows
+that repeat pass or go alike and leave one row there; of rows with one id and different texts one stays, of linked
+documents the one of the smallest id. A toxicity of just 0.5 is rejected, as is a share of benchmark words of just a
+twentieth. Very long texts are handled whole in every stage. An empty table gives an empty result.
 """
 
 from __future__ import annotations
