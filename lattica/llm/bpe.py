@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import ChunkCache
+from .chunks import Chunks
 from .shared import bounded_batches, free_name
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-KEPT_CHUNKS = 300_000
+KEPT_CHUNKS = 500_000
 _SHIFT = 0x100
 _TO_CHAR = {b: _SHIFT + b for b in range(256)}
 #: White space as the Unicode property has it, whatever the regex library adds to \\s.
@@ -88,20 +88,19 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(ranks))
         self.split = regex.compile(pattern.replace(r"[^\s", f"[^{_WHITE}").replace(r"\s", f"[{_WHITE}]").replace(r"\S", f"[^{_WHITE}]")).findall
         self.dtype = np.dtype("<u2" if len(self.pieces) <= 1 << 16 else "<u4")
-        self.cache = ChunkCache(self._chunks, KEPT_CHUNKS)
+        self.chunks = Chunks(self._chunks, self.dtype, KEPT_CHUNKS)
 
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        tokens = [[t.encode() for t in self.split(c)] for c in chunks]
+    def _chunks(self, names: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        tokens = [[t.encode() for t in self.split(c.decode())] for c in names]
         new = sorted({t for ts in tokens for t in ts if t not in self.ranks})
         made = dict(zip(new, self.model.encode([mapped(t) for t in new], num_threads=1), strict=True)) if new else {}
         ranks = self.ranks
-        ids = (chain.from_iterable((ranks[t],) if t in ranks else made[t] for t in ts) for ts in tokens)
-        return [np.fromiter(x, self.dtype).tobytes() for x in ids]
+        ids = [[x for t in ts for x in ((ranks[t],) if t in ranks else made[t])] for ts in tokens]
+        return names, np.fromiter(chain.from_iterable(ids), self.dtype), np.array(list(map(len, ids)), np.int64)
 
-    def encode_batch(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """The ids of each text; kept packed, as a worker's memory holds the ids of many chunks."""
-        for parts in self.cache.each(texts):
-            yield np.frombuffer(b"".join(parts), self.dtype)
+    def encode_batch(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        return self.chunks.rows(texts)
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
@@ -140,7 +139,7 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str | No
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def ids(texts: pa.Array) -> pa.Array:
-        return _listed(list(codec_of(shared).encode_batch(texts.to_pylist())))
+        return _listed(list(codec_of(shared).encode_batch(texts)))
 
     return docs.select("*", ids.asNondeterministic()(F.col(text)).alias(free_name(docs, out)))
 
@@ -172,7 +171,7 @@ def digests(docs: DataFrame, text: str = "text", out: str = "digests", path: str
     def both(texts: pa.Array) -> pa.Array:
         codec, n, sha, back, kept = codec_of(shared), [], [], [], []
         names = _decimals(len(codec.pieces))
-        for got in codec.encode_batch(texts.to_pylist()):
+        for got in codec.encode_batch(texts):
             n.append(len(got))
             sha.append(hashlib.sha256(",".join(map(names.__getitem__, got.tolist())).encode()).hexdigest())
             back.append(hashlib.sha256(codec.decode(got)).hexdigest())

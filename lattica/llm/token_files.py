@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
-from .chunks import ChunkCache
+from .chunks import Chunks, joinable
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -42,7 +42,7 @@ BATCH_IDS = 1 << 20
 
 
 class Encoder:
-    """Encodes chunks of byte-level BPE text with the tokenizers library; values are packed ids."""
+    """Encodes chunks of byte-level BPE text with the tokenizers library."""
 
     def __init__(self, raw: bytes, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,31 +54,35 @@ class Encoder:
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         # one character of a byte-level token stands for one byte
         self.lengths = np.array([len(self.tokenizer.id_to_token(k) or "") for k in range(size)])
-        self.cache = ChunkCache(self._chunks)
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
-
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        """Chunks that open with a space are encoded in long runs, which are cut by the tokens' byte lengths."""
-        out: list[bytes] = []
-        for k in range(0, len(chunks), 2000):
-            some = chunks[k : k + 2000]
-            if all(c[:1] == " " and c[1:2].strip() for c in some[1:]):
-                ids = self._ids("".join(some))
-                ends = np.cumsum([len(c.encode()) for c in some])
-                at = np.cumsum(self.lengths[ids])
-                cut = np.searchsorted(at, ends) + 1
-                cut[ends == 0] = 0
-                if len(ids) and at[-1] == ends[-1] and (at[cut[ends > 0] - 1] == ends[ends > 0]).all():
-                    packed = ids.astype(self.dtype)
-                    out += [packed[a:b].tobytes() for a, b in zip([0, *cut[:-1]], cut, strict=True)]
-                    continue
-            out += [self._ids(c).astype(self.dtype).tobytes() for c in some]
-        return out
-
-    def encode_batch(self, texts: list[str | None]) -> Iterator[bytes]:
-        return map(b"".join, self.cache.each(texts))
+        self.chunks = Chunks(self._chunks, self.dtype)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _chunks(self, names: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Chunks that open with a boundary are encoded in long runs, which are cut by the tokens' byte lengths."""
+        runs, alone = [], []
+        for name in names:
+            (runs if joinable(name) else alone).append(name)
+        order, flat, counts = [], [], []
+        for k in range(0, len(runs), 2000):
+            some = runs[k : k + 2000]
+            ids = np.array(self._ids([b"".join(some).decode()])[0], np.int64)
+            ends, at = np.cumsum([len(c) for c in some]), np.cumsum(self.lengths[ids])
+            cut = np.searchsorted(at, ends)
+            if cut[-1] == len(ids) - 1 and (at[cut] == ends).all():
+                order += some
+                flat.append(ids)
+                counts.append(np.diff(cut, prepend=-1))
+            else:
+                alone += some
+        for k in range(0, len(alone), 1000):
+            some = alone[k : k + 1000]
+            found = self._ids([c.decode() for c in some])
+            order += some
+            flat.append(np.array([x for ids in found for x in ids], np.int64))
+            counts.append(np.array([len(ids) for ids in found], np.int64))
+        return order, np.concatenate(flat).astype(self.dtype), np.concatenate(counts)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -118,14 +122,17 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
                 files = [place.open_output_stream(f"{at}/{name}.{kind}") for kind in ("ids", "idx", "doc")]
                 files[1].write(np.zeros(1, "<u8").tobytes())
                 row = {"pid": TaskContext.get().partitionId(), "name": name, "n_docs": 0, "n_ids": 0, "n_null": 0, "first": None, "last": None}
-            end = b"" if end_id is None else np.array([end_id], encoder.dtype).tobytes()
-            blobs = [b + end for b in encoder.encode_batch(batch.column(1).to_pylist())]
-            files[0].write(b"".join(blobs))
-            stops = row["n_ids"] + np.cumsum([len(b) // encoder.dtype.itemsize for b in blobs])
-            files[1].write(stops.astype("<u8").tobytes())
+            stops, n_ids = [], row["n_ids"]
+            for ids, first in encoder.chunks.each(batch.column(1)):
+                if end_id is not None:
+                    ids, first = np.insert(ids, first[1:], end_id), first + np.arange(len(first))
+                files[0].write(ids.tobytes())
+                stops.append(n_ids + first[1:])
+                n_ids += len(ids)
+            files[1].write(np.concatenate(stops).astype("<u8").tobytes())
             files[2].write(np.asarray(batch.column(0).fill_null(0), "<i8").tobytes())
             known = batch.column(0).drop_null()
-            row |= {"n_docs": row["n_docs"] + batch.num_rows, "n_ids": int(stops[-1]), "n_null": row["n_null"] + batch.column(0).null_count}
+            row |= {"n_docs": row["n_docs"] + batch.num_rows, "n_ids": int(n_ids), "n_null": row["n_null"] + batch.column(0).null_count}
             if len(known):
                 row |= {"first": known[0].as_py() if row["first"] is None else row["first"], "last": known[-1].as_py()}
         if files:

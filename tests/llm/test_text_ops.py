@@ -262,7 +262,7 @@ def test_bpe_on_every_kind_of_character():
     want = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
     points = [c for c in range(0x3100) if not 0xD800 <= c < 0xE000] + list(range(0xF900, 0x10000, 17)) + list(range(0x10000, 0x20000, 97))
     texts = [f"a{chr(c)} {chr(c)}b  {chr(c)} 's{chr(c)}1{chr(c)}\n{chr(c)}" for c in points]
-    assert [x.tolist() for x in codec.encode_batch(texts)] == [want.encode_ordinary(t) for t in texts]
+    assert [x.tolist() for x in codec.encode_batch(pa.array(texts))] == [want.encode_ordinary(t) for t in texts]
 
 
 def test_token_files_round_trip(spark, docs, none, tmp_path, monkeypatch):
@@ -700,3 +700,37 @@ def test_toxicity_on_few_rows_and_unseen_misspellings(spark):
         data = [f"{near.decode()} {plain}".encode(), plain.encode()]
         p = model.score(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
         assert p[0] > p[1]
+
+
+def test_chunks_start_at_boundaries_and_are_forgotten_without_harm(monkeypatch):
+    import re as regexp
+
+    from lattica.llm import chunks
+
+    odd = [" ", "  a", "a ", " a b", "a  b", "a \n b", "a  b", "a  b", "a 　b", "a  b", "a  b", "a —b", "a あb", "a \x85b", "a \x1cb", "", "é è ", " €"]
+    for rows in (odd, odd[::-1], ["a", " b"], ["a ", "b"], []):
+        raw = [t.encode() for t in rows]
+        edges = np.cumsum([0, *map(len, raw)])
+        starts = chunks.starts_of(np.frombuffer(b"".join(raw), np.uint8), edges).tolist()
+        want = []
+        for t, lo in zip(rows, edges, strict=False):
+            at = [m.start() for m in regexp.finditer(r" (?=\S)", t)]
+            want += sorted({lo + len(t[:k].encode()) for k in [0, *at]}) if t else []
+        assert starts == want, rows
+    calls = []
+
+    def encode(names):
+        calls.append(len(names))
+        ids = [[len(n), n[0]] * (len(n) % 3) for n in names]
+        return names, np.array([x for i in ids for x in i], np.uint16), np.array(list(map(len, ids)))
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice([f"w{k}" * int(k % 5 + 1) for k in range(300)] + ["x" * 200], 40)) for _ in range(60)] + [None, ""]
+    plain = [x.tolist() for x in chunks.Chunks(encode, np.dtype("<u2")).rows(pa.array(texts))]
+    few = sum(calls)
+    monkeypatch.setattr(chunks, "GROUP", 500)
+    small = chunks.Chunks(encode, np.dtype("<u2"), limit=40)
+    assert [x.tolist() for x in small.rows(pa.array(texts))] == plain and plain[-2:] == [[], []]
+    assert small.young.n < 40 + 60 and sum(calls) - few > few
+    monkeypatch.setattr(tk, "hash_spans", lambda b, starts, ends: np.zeros(len(starts), np.uint64))
+    assert [x.tolist() for x in chunks.Chunks(encode, np.dtype("<u2")).rows(pa.array(texts))] == plain
