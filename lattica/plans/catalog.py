@@ -117,7 +117,7 @@ def core_masks_e64(spark, sf_dir):
 # grids
 
 
-@query("select k::int as k, round(0.1 + k * 0.2, 9) as eps from range(0, 3) t(k)")
+@query("select k::int as k, round(0.1 + k * 0.2, 9)::double as eps from range(0, 3) t(k)")
 def eps_range(spark, sf_dir):
     return spark.createDataFrame([(k, round(e, 9)) for k, e in enumerate(grid.expand_range(0.1, 0.55, 0.2))], "k int, eps double")
 
