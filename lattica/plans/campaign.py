@@ -358,3 +358,11 @@ def phase_shares(spark, sf_dir):
     e = _table(spark, sf_dir, "events").select(F.col("event_type").alias("phase"), F.abs("value").alias("ms"), (F.col("event_type") == "click").alias("per_config"))
     got = stats.phases(e, 500_000_000)
     return got.select("phase", "per_config", F.round("ms", 3).alias("ms"), F.round("share", 9).alias("share"), F.round("ms_per_1e9_edges", 3).alias("ms_per_1e9_edges"))
+
+
+@query(_KNN + " select distinct round(greatest(q, 1e-6)::float::double, 6) as eps from (select unnest(quantile_cont(dist, [0.5, 0.7, 0.85])) as q from nn where rank = 7 and id % 5 != 0)")
+def suggest_eps_truth(spark, sf_dir):
+    """Every fifth point is called noise, and left out of the quantiles."""
+    p = points(spark, sf_dir, "e64")
+    truth = p.select("id", F.when(F.col("id") % 5 == 0, -1).otherwise(0).alias("truth"))
+    return suggest.eps(p, 8, truth=truth).select(F.explode("eps").alias("eps")).select(F.round("eps", 6).alias("eps"))
