@@ -93,7 +93,7 @@ def fit(points: DataFrame, eps: list[float], min_pts: list[int], route: str = "a
     points = points.select(F.col("id").cast("bigint").alias("id"), F.col("v").cast("array<double>").alias("v"))
     table = written(pairs.pairs(points, eps, route, vectors.check(points), max_pairs), "pairs")
     deg = written(degrees.degrees(points, table, len(eps)), "degrees")
-    core = written(degrees.core_radius(deg, min_pts), "core")
+    core = degrees.core_radius(deg, min_pts)  # a narrow step from a stored table
     links = forest.core_links(table, core)
     roots = written(forest.components(core, links, len(eps), local_links), "roots")
     return Grid(points, eps, min_pts, table, deg, core, roots)
