@@ -23,6 +23,7 @@ never enter a score.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -145,27 +146,37 @@ class _Texts:
 
     def __init__(self, rows):
         self.vocabulary, self.word, self.share, self.row = _sparse(rows)
-        self.n = len(rows)
+        self.n, self.n_words = len(rows), len(self.vocabulary)
 
     def deal(self) -> None:
         """Numbers the subwords that occur; `used` are their buckets."""
         buckets, self.n_sub = _spread(self.vocabulary)
+        self.vocabulary = None
         self.used = np.flatnonzero(np.bincount(buckets, minlength=1 << BITS))
-        place = np.zeros(1 << BITS, np.int64)
+        place = np.zeros(1 << BITS, np.int32)
         place[self.used] = np.arange(len(self.used))
-        self.bucket = place[buckets]
-        self.first, self.scale = np.concatenate(([0], np.cumsum(self.n_sub)[:-1])), 1 / self.n_sub
+        self.bucket = np.take(place, buckets, out=buckets)
+        self.scale, self.at = 1 / self.n_sub, np.concatenate(([0], np.cumsum(self.n_sub)))
+
+    def _runs(self, size: int = 50_000) -> Iterator[tuple[slice, np.ndarray]]:
+        """Words, and their subwords' numbers, in runs that keep the arrays made of them small."""
+        for lo in range(0, self.n_words, size):
+            own = slice(lo, min(lo + size, self.n_words))
+            yield own, self.bucket[self.at[own.start] : self.at[own.stop]].astype(np.intp)
 
     def onto(self, of_word: np.ndarray) -> np.ndarray:
         """For each subword the sum of a number over the words that hold it."""
-        return np.bincount(self.bucket, np.repeat(of_word, self.n_sub), len(self.used))
+        out = np.zeros(len(self.used))
+        for own, bucket in self._runs():
+            out += np.bincount(bucket, np.repeat(of_word[own], self.n_sub[own]), len(self.used))
+        return out
 
     def forward(self, weight: np.ndarray) -> np.ndarray:
-        words = np.add.reduceat(weight[self.bucket], self.first) * self.scale
+        words = np.concatenate([np.add.reduceat(weight[bucket], self.at[own] - self.at[own.start]) for own, bucket in self._runs()]) * self.scale
         return np.bincount(self.row, words[self.word] * self.share, self.n)
 
     def back(self, of_text: np.ndarray) -> np.ndarray:
-        return self.onto(np.bincount(self.word, of_text[self.row] * self.share, len(self.vocabulary)) * self.scale)
+        return self.onto(np.bincount(self.word, of_text[self.row] * self.share, self.n_words) * self.scale)
 
 
 def _probability(texts: _Texts, params: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
@@ -194,11 +205,11 @@ def fit(rows, dim: int = 2, rounds: int = 300, rate: float = 1.0, patience: int
     texts = _Texts(rows)
     prior = Model(np.zeros(1 << BITS, np.float32), float(np.log(y.mean() / (1 - y.mean()))))
     held = np.arange(len(rows)) % 5 == 0
-    seen = [np.bincount(texts.word[~held[texts.row] & (y[texts.row] == c)], minlength=len(texts.vocabulary)) for c in (0, 1)]
+    seen = [np.bincount(texts.word[~held[texts.row] & (y[texts.row] == c)], minlength=texts.n_words) for c in (0, 1)]
     if not (seen[0].any() and seen[1].any()):  # the texts that train have words in one class only
         return prior
     texts.deal()
-    spread = texts.onto(np.bincount(texts.word, np.square(texts.share, dtype=np.float64), len(texts.vocabulary)) * texts.scale**2)
+    spread = texts.onto(np.bincount(texts.word, np.square(texts.share, dtype=np.float64), texts.n_words) * texts.scale**2)
     pace = _paces(np.stack([texts.onto(c) for c in seen]), spread)[:, None]
     rng = np.random.default_rng(seed)
     params = (rng.random((len(texts.used), dim)) - 0.5) / dim * np.sqrt(pace), rng.normal(0, 1, (dim, 2)), np.log(np.array([1 - y.mean(), y.mean()]))
