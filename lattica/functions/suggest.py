@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators import pairs
+from lattica.sources.stored import written
 
 FLOOR = 1e-6
 QUANTILES = (0.5, 0.7, 0.85)
@@ -27,7 +28,7 @@ def intrinsic_dimension(points: DataFrame, k: int = 20) -> DataFrame:
     k = min(max(4, k), n - 1)
     if k < 3:
         return points.sparkSession.createDataFrame([(float(d),)], "dim double")
-    near = pairs.knn(points, k + 1, (n, d)).where("rank > 0")
+    near = written(pairs.knn(points, k + 1, (n, d)).where("rank > 0"), "neighbours")  # read twice, searched once
     last = near.groupBy("id").agg(F.max("dist").alias("rk"))
     logs = near.where(F.col("rank") < k).join(last, "id").groupBy("id").agg(F.avg(F.ln((F.col("rk") + _TINY) / (F.col("dist") + _TINY))).alias("m"))
     dim = F.percentile(1 / F.greatest("m", F.lit(_TINY)), F.lit(0.5))
@@ -61,6 +62,7 @@ def eps(points: DataFrame, count: int, quantiles: tuple[float, ...] = QUANTILES,
     rank = sampled_rank(n, size, count)
     dist = pairs.knn(used, rank, (size, d)).where(F.col("rank") == rank - 1)
     if truth is not None:
+        dist = written(dist, "neighbours")
         clean = dist.join(truth.where("truth >= 0"), "id", "left_semi")
         if clean.count() >= max(50, 0.1 * size):
             dist = clean
